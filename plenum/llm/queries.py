@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as dc
+from . import near_dedup as nd
 from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import source_mix as sm
@@ -37,11 +39,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", qc.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nd.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
