@@ -9,8 +9,10 @@ from . import decontaminate as dc
 from . import near_dedup as nd
 from . import quality_classifier as qc
 from . import quality_rules as qr
+from . import secrets as sc
 from . import source_mix as sm
 from . import token_files as tf
+from . import url_filter as uf
 from .common import table, written
 
 
@@ -24,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.secret_digest(sc.secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qr.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", qc.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uf.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,9 +59,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
