@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, joined, sliced
+from .common import sliced
 
 
 @dataclass(frozen=True)
@@ -164,8 +164,8 @@ def _terms_of(texts: pa.Array, vocab: dict[str, int]) -> tuple[np.ndarray, np.nd
     return (table[codes[full]] if len(codes) else np.zeros(0, np.int64)), kept[bounds]
 
 
-def find_in_batch(batch: pa.RecordBatch, index: Index) -> list[tuple]:
-    numbers, bounds = _terms_of(batch.column(1), index.vocab)
+def find_in_batch(ids: list, texts: pa.Array, index: Index) -> list[tuple]:
+    numbers, bounds = _terms_of(texts, index.vocab)
     window, stride = index.window, index.window // 2
     counts = np.diff(bounds)
     passages = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - window) // stride)), 0)
@@ -193,7 +193,7 @@ def find_in_batch(batch: pa.RecordBatch, index: Index) -> list[tuple]:
             continue
         doc = int(owner[p])
         if cached[0] != doc:
-            cached = (doc, [term(w.decode()) for w in batch.column(1)[doc].as_py().encode().split()])
+            cached = (doc, [term(w.decode()) for w in texts[doc].as_py().encode().split()])
         first = int(begin[p] - bounds[doc])
         words = [t for t in cached[1][first : first + window] if t]
         for item, score in hits:
@@ -201,28 +201,32 @@ def find_in_batch(batch: pa.RecordBatch, index: Index) -> list[tuple]:
             if q >= index.config.question and a >= index.config.answer:
                 if (doc, item) not in best or best[doc, item][2] < score:
                     best[doc, item] = (index.items[item][0], first, score, q, a)
-    ids = batch.column(0).to_pylist()
     return [(ids[doc], item_id, first, score, q, a) for (doc, _), (item_id, first, score, q, a) in best.items()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """doc_id, item_id, word (where the passage begins), score, question and answer overlap: a row for each text and item it holds.
+def indexes(benchmark: DataFrame, config: LeakConfig) -> Iterator:
+    """Broadcast indexes of at most about slab_items items each; a larger benchmark is split by a hash.
 
-    The index goes to every executor, and so holds at most slab_items items; a larger benchmark is split by a hash into
-    indexes of that size, each with its own statistics and its own pass over the texts.
+    Each slab has its own statistics and its own pass over the texts.
     """
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     slabs = max(1, -(-items.count() // config.slab_items))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for slab in range(slabs):
         part = items if slabs == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == slab)
-        shared = spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), config))
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield spark.sparkContext.broadcast(Index(rows, config))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
+    """doc_id, item_id, word (where the passage begins), score, question and answer overlap: a row for each text and item it holds."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for shared in indexes(benchmark, config):
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, "text", limit=2 << 20):
-                rows = find_in_batch(batch, shared.value)
+                rows = find_in_batch(batch.column(0).to_pylist(), batch.column(1), shared.value)
                 if rows:
                     columns = zip(*rows, strict=True)
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -234,11 +238,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """The rows of docs in which no item was found."""
-    from .common import written
-
-    rows = docs.withColumn("__tie", F.xxhash64("doc_id", "text"))
-    # ids may be null or equal, so rows are told apart by id and text
-    marked = leaks(rows.select(F.col("__tie").alias("doc_id"), "text"), benchmark, config)
-    bad = written(marked.select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return joined(rows, bad, rows["__tie"] == bad["__bad"], "left_anti", fits_broadcast(bad, 16)).select(*docs.columns)
+    """The rows of docs in which no item was found, as they are; no row is moved."""
+    for shared in indexes(benchmark, config):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, "text", limit=2 << 20):
+                kept = np.ones(batch.num_rows, bool)
+                texts = batch.column(batch.schema.get_field_index("text"))
+                kept[[r[0] for r in find_in_batch(list(range(batch.num_rows)), texts, shared.value)]] = False
+                yield batch.filter(pa.array(kept))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -187,3 +187,16 @@ def training_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_model(stats: DataFrame, labels: DataFrame, **options) -> Quadratic:
     return fit_quadratic(training_rows(stats, labels), **options)
+
+
+def keep_quality(docs: DataFrame, model: Quadratic, least: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of `least` at least, as they are; no row is moved."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in sliced(batches, "text"):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if texts:
+                yield batch.filter(pa.array(model.score(np.array([statistics(t, compress) for t in texts])) >= least))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
+from . import license_scan as ls
 from . import near_dedup as nd
 from . import quality_classifier as qc
 from . import quality_rules as qr
 from . import secrets as sc
 from . import source_mix as sm
+from . import token_counts as tc
 from . import token_files as tf
 from . import url_filter as uf
 from .common import table, written
@@ -22,6 +24,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +63,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tc.token_counts(table(spark, sf_dir, "documents"), tc.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports tokenizer_path from here
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
@@ -66,6 +83,8 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -30,18 +30,23 @@ ESCAPE = (1 << 60) - 1
 BLOCK = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, word_at array<long>, words binary, escapes binary"
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a run of ids, and its escapes."""
+def pack(values: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of runs of ids (all one run unless lengths are given), the escapes, and the word at which each run begins.
+
+    Greedy: at each place the selector that takes most ids, of those that fit their bits and stay inside the run.
+    """
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
+    ends = np.cumsum([n] if lengths is None else lengths)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    # np.frexp rounds above 2^53, where only the widest selectors are left; so compare the integers themselves there
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    # np.frexp rounds above 2^53, where only the widest selector is left
     bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     escaped = values >= np.uint64(ESCAPE)
     bits[values >= np.uint64(1 << 53)] = 60
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
     choice = np.full(n, 15, np.uint8)
-    span, reach = bits.copy(), 1  # span[i]: most bits in values[i : i + reach]
+    span, reach = bits, 1  # span[i]: most bits in values[i : i + reach]
     for s in range(14, -1, -1):
         count = int(COUNTS[s])
         if count > n:
@@ -50,10 +55,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             step = min(reach, count - reach)
             span = np.maximum(span[: len(span) - step], span[step:])
             reach += step
-        fits = span <= WIDTHS[s]
-        if not fits.any() and s < 8:
-            break
+        fits = (span <= WIDTHS[s]) & (left[: len(span)] >= count)
         choice[: len(fits)][fits] = s
+        if s < 10 and span.min() > WIDTHS[s]:  # narrower selectors ask for more ids of fewer bits
+            break
     follow = (np.arange(n) + COUNTS[choice]).tolist()
     starts, i = [], 0
     while i < n:
@@ -62,13 +67,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.array(starts)
     chosen = choice[starts]
     words = chosen.astype(np.uint64)
-    held = np.where(escaped, np.uint64(ESCAPE), values)
+    held = np.where(escaped, np.uint64(ESCAPE), values) if escaped.any() else values
     for s in range(2, 16):
         at = np.flatnonzero(chosen == s)
         if len(at):
             part = held[starts[at][:, None] + np.arange(COUNTS[s])] << (np.uint64(4) + np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s]))
             words[at] |= np.bitwise_or.reduce(part, axis=1)
-    return words, values[escaped]
+    return words, values[escaped], np.searchsorted(starts, np.concatenate([[0], ends[:-1]]))
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -86,6 +91,42 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Words(dict):
+    """Ids of words by word.  A second dictionary holds the last generation: what isn't asked for again is forgotten."""
+
+    def __init__(self, encoder: WordEncoder, before: str, keep: int):
+        super().__init__()
+        self.encoder, self.before, self.keep, self.old = encoder, before, keep, {}
+
+    def ready(self, wanted: set[str]) -> None:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        if self.old:
+            for word in wanted & self.old.keys():
+                self[word] = self.old.pop(word)
+        missing = list(wanted.difference(self))
+        for at in range(0, len(missing), 512):
+            self._learn(missing[at : at + 512])
+
+    def _learn(self, words: list[str]) -> None:
+        """Many words in one text: the ids of each begin at an id that only a separator gives."""
+        strange = {w for w in words if len(w.split()) != 1 or w.split()[0] != w}
+        self.update(dict.fromkeys(strange))  # None: other white space; its text is encoded whole
+        words = [w for w in words if w not in strange]
+        if not words:
+            return
+        e, space = self.encoder, self.before == " "
+        ids = e.raw([self.before + self.before.join(words)])[0]
+        begin = np.flatnonzero(e.spaced[ids] if space else ids == e.line_feed)
+        if len(begin) == len(words):
+            raw = ids.astype("<u4").tobytes()
+            starts, ends = (4 * begin if space else 4 * begin + 4).tolist(), [*(4 * begin[1:]).tolist(), 4 * len(ids)]
+            self.update((w, raw[a:b]) for w, a, b in zip(words, starts, ends, strict=True))
+        else:
+            self.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(words, e.raw([" " + w if space else w for w in words]), strict=True))
+
+
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, with the ids of frequent words kept.
 
@@ -93,57 +134,54 @@ class WordEncoder:
     white space is the sequence of its words, each with the space before it; any other text is encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.new, self.old = keep, {}, {}
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
+        self.line_feed = int(self.raw(["\n"])[0][0])
+        self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 4)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        need: set[str] = set()
+        lines: list[list[list[str]]] = []
+        inner: set[str] = set()
+        first: set[str] = set()
         for text in texts:
-            pieces = text.replace("\n", " \n ").split(" ") if " " in text or "\n" in text else [text]
-            # an empty piece: two spaces, or a space next to a line feed, an end of the text or another line feed
-            whole = "" in pieces or pieces[0] == "\n" or pieces[-1] == "\n" or not text.isprintable() and any(c.isspace() and c not in " \n" for c in set(text))
-            parts.append(None if whole else pieces)
-            if not whole:
-                need.update(pieces)
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
-        for piece in need & self.old.keys():
-            self.new[piece] = self.old[piece]
-        missing = list(need.difference(self.new))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            self.new.update(zip(some, self.ids([p if p == "\n" else " " + p for p in some]), strict=True))
-        starts = self._starts([p for p in parts if p])
-        whole_ids = iter(self.ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole_ids) if p is None else self._join(p, starts) for p in parts]
-
-    def _starts(self, parts: list[list[str]]) -> dict[str, bytes]:
-        """Ids of words that begin a text or a line, and so have no space before them."""
-        words = {p[0] for p in parts}
-        for p in parts:
-            words.update(p[i + 1] for i, w in enumerate(p) if w == "\n")
-        words = list(words)
-        return dict(zip(words, self.ids(words), strict=True))
-
-    def _join(self, pieces: list[str], starts: dict[str, bytes]) -> bytes:
-        out = [self.new[p] for p in pieces]
-        out[0] = starts[pieces[0]]
-        if "\n" in pieces:
-            for i, p in enumerate(pieces):
-                if p == "\n":
-                    out[i + 1] = starts[pieces[i + 1]]
-        return b"".join(out)
+            split = [line.split(" ") for line in text.split("\n")]
+            lines.append(split)
+            for words in split:
+                inner.update(words)
+                first.add(words[0])
+        # an empty word: two spaces, or a space or line feed next to a line feed or an end of the text
+        inner.discard("")
+        first.discard("")
+        self.inner.ready(inner)
+        self.first.ready(first)
+        feed = np.array([self.line_feed], "<u4").tobytes()
+        at_inner, at_first, out = self.inner.__getitem__, self.first.__getitem__, []
+        for split in lines:
+            try:
+                parts: list[bytes] = []
+                for words in split:
+                    at = len(parts)
+                    parts += map(at_inner, words)
+                    parts[at] = at_first(words[0])
+                    parts.append(feed)
+                parts.pop()
+                out.append(b"".join(parts))
+            except (KeyError, TypeError):
+                out.append(None)
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
+            out[i] = ids.astype("<u4").tobytes()
+        return out
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, end_id: int = 0, block_ids: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -154,27 +192,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, e
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(tokenizer)
+        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
         held: list[tuple] = []
         ids = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, first, held, ids
-            words, escapes, at, n = [], [], [], 0
-            for _, values in held:
-                at.append(n)
-                w, e = pack(values)
-                words.append(w)
-                escapes.append(e)
-                n += len(w)
-            row = [[shard], [block], [first], [ids], [[d for d, _ in held]], [[len(v) for _, v in held]], [at], [np.concatenate(words).astype("<u8").tobytes()], [np.concatenate(escapes).astype("<u8").tobytes()]]
+            lengths = [len(v) for _, v in held]
+            words, escapes, at = pack(np.concatenate([v for _, v in held]), np.array(lengths))
+            row = [[shard], [block], [first], [ids], [[d for d, _ in held]], [lengths], [at], [words.astype("<u8").tobytes()], [escapes.astype("<u8").tobytes()]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
             block, first, held, ids = block + 1, first + ids, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in sliced(batches, "text", limit=4 << 20):
             for doc_id, raw in zip(batch.column(0).to_pylist(), encoder([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                values = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                values = np.frombuffer(raw + end, "<u4")
                 held.append((doc_id, values))
                 ids += len(values)
                 if ids >= block_ids:
@@ -195,7 +228,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"))
-                # a document's last word may hold fewer ids than its selector says only if n ids were too few for it, which pack() rules out
                 ends = np.cumsum(row["lengths"])
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends, row["lengths"], strict=True)]
