@@ -115,10 +115,9 @@ class Counter(dict):
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = Counter(vocabulary)
         for batch in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.tokens(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
