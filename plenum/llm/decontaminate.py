@@ -2,9 +2,9 @@
 
 Passages are windows of words, each twice as long as the longest item and half covering the next, so that an item which
 a text holds lies in one of them whole.  Impacts are divided by the score that an item has as its own query: 1 says that
-a passage has all its terms.  Postings are in item order, cut into blocks that carry their greatest impact.  Sums of
-block maxima over whole batches of passages rule out most of them at once; the rest run block-max WAND one by one, which
-yields every item at or above the threshold.  Hits are verified: enough of the question's runs of five words and of the
+a passage has all its terms.  Postings are in item order, cut into blocks that carry their greatest impact, on two levels.
+Sums of block maxima over whole batches of passages rule out most of them at once; the rest run block-max WAND one by
+one, which yields every item at or above the threshold.  Hits are verified: enough of the question's runs of five words and of the
 answer's words must be in the passage.
 
 An item's answer is its last sentence or line, its question what comes before; an item of one sentence is cut in half.
@@ -32,7 +32,9 @@ class LeakConfig:
     k1: float = 1.2
     b: float = 0.75
     threshold: float = 0.7
-    block: int = 16
+    block: int = 2
+    coarse: int = 16
+    light: float = 0.1
     width: int = 5
     question: float = 0.8
     answer: float = 0.8
@@ -89,6 +91,18 @@ class Index:
         for t in range(len(self.vocab)):
             np.maximum.at(self.block_max[t], self.ids[t] // config.block, np.array(self.impacts[t], np.float32))
         self.term_max = self.block_max.max(axis=1) if n else np.zeros(len(self.vocab), np.float32)
+        #: the same for blocks of blocks
+        self.coarse_max = np.zeros((len(self.vocab), -(-n // config.coarse) if n else 0), np.float32)
+        for t in range(len(self.vocab)):
+            np.maximum.at(self.coarse_max[t], self.ids[t] // config.coarse, np.array(self.impacts[t], np.float32))
+        #: the commonest terms: all together they add no more than light to a score, so that bounds do without them
+        order = np.argsort(self.term_max, kind="stable")
+        sums = np.cumsum(self.term_max[order], dtype=np.float64)
+        few = int(np.searchsorted(sums, config.light, side="right"))
+        self.heavy = np.ones(len(self.vocab) + 1, bool)
+        self.heavy[order[:few]] = False
+        self.heavy[-1] = False
+        self.light = float(sums[few - 1]) if few else 0.0
         longest = max((len(t.encode().split()) for _, t, _ in self.items), default=1)
         self.window = max(config.min_window, 2 * longest)
         parts = [question_and_answer(t) for _, t, _ in self.items]
@@ -158,7 +172,8 @@ def _terms_of(texts: pa.Array, vocab: dict[str, int]) -> tuple[np.ndarray, np.nd
     bounds = bounds - bounds[0]
     full = np.asarray(pc.binary_length(words)) > 0
     encoded = words.dictionary_encode()
-    table = np.fromiter((vocab.get(term(w), -1) for w in encoded.dictionary.to_pylist()), np.int64, len(encoded.dictionary))
+    # most words are letters only, and need no stripping
+    table = np.fromiter((vocab.get(w.lower() if w.isalpha() else term(w), -1) for w in encoded.dictionary.to_pylist()), np.int64, len(encoded.dictionary))
     kept = np.concatenate([[0], np.cumsum(full)])
     codes = np.asarray(encoded.indices)
     return (table[codes[full]] if len(codes) else np.zeros(0, np.int64)), kept[bounds]
@@ -174,20 +189,23 @@ def find_in_batch(ids: list, texts: pa.Array, index: Index) -> list[tuple]:
         return []
     begin = bounds[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(passages) - passages, passages)) * stride
     until = np.minimum(begin + window, bounds[owner + 1])
-    known = np.flatnonzero(numbers >= 0)
-    lo, hi = np.searchsorted(known, begin), np.searchsorted(known, until)
+    heavy = np.flatnonzero(index.heavy[numbers])
+    lo, hi = np.searchsorted(heavy, begin), np.searchsorted(heavy, until)
     possible = np.zeros(len(owner), bool)
-    some = numbers[known]
-    for at in range(0, index.blocks, 16):  # sums of a few blocks at a time, in bounded memory
-        sums = np.zeros((len(some) + 1, min(16, index.blocks - at)))
-        np.cumsum(index.block_max[some, at : at + 16], axis=0, dtype=np.float64, out=sums[1:])
-        possible |= (sums[hi] - sums[lo]).max(axis=1) >= index.config.threshold - 1e-4
+    some = numbers[heavy]
+    floor = index.config.threshold - index.light - 1e-4
+    for at in range(0, index.coarse_max.shape[1], 16):  # sums of a few blocks at a time, in bounded memory
+        sums = np.zeros((len(some) + 1, min(16, index.coarse_max.shape[1] - at)))
+        np.cumsum(index.coarse_max[some, at : at + 16], axis=0, dtype=np.float64, out=sums[1:])
+        possible |= (sums[hi] - sums[lo]).max(axis=1) >= floor
     best: dict[tuple[int, int], tuple] = {}
     cached: tuple[int, list[str]] = (-1, [])
     for p in np.flatnonzero(possible):
-        query = np.unique(some[lo[p] : hi[p]])
-        if index.block_max[query].sum(axis=0).max() < index.config.threshold - 1e-4:  # repeated words counted once
+        query = np.unique(some[lo[p] : hi[p]])  # repeated words count once
+        if index.block_max[query].sum(axis=0).max() < floor:
             continue
+        query = np.unique(numbers[begin[p] : until[p]])
+        query = query[query >= 0]
         hits = index.wand(query.tolist())
         if not hits:
             continue
@@ -205,28 +223,27 @@ def find_in_batch(ids: list, texts: pa.Array, index: Index) -> list[tuple]:
 
 
 def indexes(benchmark: DataFrame, config: LeakConfig) -> Iterator:
-    """Broadcast indexes of at most about slab_items items each; a larger benchmark is split by a hash.
+    """Indexes, sent with the tasks, of at most about slab_items items each; a larger benchmark is split by a hash.
 
     Each slab has its own statistics and its own pass over the texts.
     """
-    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     slabs = max(1, -(-items.count() // config.slab_items))
     for slab in range(slabs):
         part = items if slabs == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == slab)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield spark.sparkContext.broadcast(Index(rows, config))
+        yield Index(rows, config)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """doc_id, item_id, word (where the passage begins), score, question and answer overlap: a row for each text and item it holds."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for shared in indexes(benchmark, config):
+    for index in indexes(benchmark, config):
 
-        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text", limit=2 << 20):
-                rows = find_in_batch(batch.column(0).to_pylist(), batch.column(1), shared.value)
+        def found(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, "text", limit=6 << 20):
+                rows = find_in_batch(batch.column(0).to_pylist(), batch.column(1), index)
                 if rows:
                     columns = zip(*rows, strict=True)
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
@@ -239,13 +256,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """The rows of docs in which no item was found, as they are; no row is moved."""
-    for shared in indexes(benchmark, config):
+    for index in indexes(benchmark, config):
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text", limit=2 << 20):
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, "text", limit=6 << 20):
                 kept = np.ones(batch.num_rows, bool)
                 texts = batch.column(batch.schema.get_field_index("text"))
-                kept[[r[0] for r in find_in_batch(list(range(batch.num_rows)), texts, shared.value)]] = False
+                kept[[r[0] for r in find_in_batch(list(range(batch.num_rows)), texts, index)]] = False
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(clean, docs.schema)
