@@ -6,10 +6,10 @@ value, so that two texts agree there with the probability of their probability J
 its next arrival is later than the latest first arrival of its text.
 
 Texts with the same words are one node.  Nodes that agree on all rows of a band are candidates.  Each bucket first
-compares its members with one hub, its most connected node; links found this way make classes; then members of the same
-bucket that are in different classes are compared with each other.  So no candidate pair is left out but those whose ends are in
-one class already, and a bucket full of copies costs as many comparisons as it has members.  A pair is a link if the
-Jaccard similarity of its sets of shingles, computed from the whole texts, reaches the threshold.
+compares its members with one hub, its most connected node; links found this way make classes.  Members of one bucket
+that are in different classes then go through an exact join on the shingles that they share besides the hub's.  So no pair of candidates is
+left out but those whose ends are in one class already, and a bucket full of copies costs as many comparisons as it has
+members.  A pair is a link if the Jaccard similarity of its sets of shingles, from the whole texts, reaches the threshold.
 
 Texts without words, and null ones, are classes of their own.  A text shorter than five words is one shingle.  Rows with
 null or equal ids are classed by their texts; the class id is the smallest id among the class.
@@ -33,8 +33,8 @@ from .common import fits_broadcast, joined, mix64, shingles, sliced, word_hashes
 class NearConfig:
     width: int = 5
     threshold: float = 0.8
-    bands: int = 25
-    rows: int = 5
+    bands: int = 42
+    rows: int = 8
     seed: int = 0x5EED
 
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFram
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = config.bands * config.rows
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", limit=2 << 20, rows=500):
             hashes, bounds = word_hashes(batch.column(2))
             values, owner, counts = weighted(*shingles(hashes, bounds, config.width))
             signature = prob_minhash(values, owner, 1 + np.log(counts), batch.num_rows, size, config.seed)
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """key and set (distinct shingle hashes) of the nodes in wanted (key, doc_id, tie of one row with its text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", limit=2 << 20, rows=500):
             values, owner, _ = weighted(*shingles(*word_hashes(batch.column(1)), width))
             bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
@@ -133,6 +133,36 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similarity >= threshold).select("a", "b")
 
 
+def outside_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of a hub's nodes in different classes that may reach the threshold; the hub itself is none of them.
+
+    Of x and y with the hub h, the overlap is at most min(|x & h|, |y & h|) plus what they share outside h.  A node that
+    is too far from its hub therefore needs shingles outside it in common with any other, and those are few, however many
+    almost-copies of one text there are.  Where the other is so much smaller than the hub that this isn't needed, both
+    meet at a token that stands for the hub.  Of a token's nodes, those of its most frequent class aren't compared.
+    """
+    own, hub_set = sets.select("key", "set"), sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set"))
+    outside = F.array_except("set", "hub_set")
+    nodes = rest.join(own, "key").join(hub_set, "hub").select("hub", "hub_n", "key", "label", "n", outside.alias("outside"))
+    nodes = nodes.withColumn("inside", F.col("n") - F.size("outside"))
+    smallest = rest.groupBy("hub").agg(F.min("n").alias("least"))
+    share = threshold / (1 + threshold)  # of the sum of two sizes: the overlap that the threshold asks for
+    enough = F.col("inside") >= F.ceil(share * (F.col("n") + F.col("least")) - 1e-9)
+    tokens = F.when(enough, F.concat("outside", F.array(F.lit(None).cast("long")))).otherwise(F.col("outside"))
+    rows = nodes.join(smallest, "hub").select("hub", "key", "label", "n", "inside", F.explode(tokens).alias("token"))
+    rows = written(rows.select(F.xxhash64("hub", F.coalesce("token", F.lit(0))).alias("at"), F.col("token").isNull().alias("is_hub"), "key", "label", "n", "inside"), "tokens")
+    counts = rows.groupBy("at", "label").count().groupBy("at").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+    marked = rows.join(counts.where("labels > 1"), "at")
+    side = lambda x: [F.col("key").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("inside").alias(f"inside_{x}")]
+    left = marked.where("label <> main").select("at", "is_hub", *side("x"))
+    right = marked.select("at", "is_hub", *side("y"), (F.col("label") == F.col("main")).alias("in_main"))
+    asked = F.ceil(share * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    within = F.least("inside_x", "inside_y")
+    alike = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
+    pairs = left.join(right, ["at", "is_hub"]).where((F.col("label_x") != F.col("label_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & alike & (~F.col("is_hub") | (within >= asked)))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and label of every end of a link; equal labels: connected.
 
@@ -193,17 +223,12 @@ def classes(docs: DataFrame, config: NearConfig = NearConfig()) -> Classes:
     links = written(verified(first, sets, config.threshold), "found")
     labels = components(links)
 
-    # what is left: members of one bucket in different classes
+    # what is left: nodes that share a bucket with one of another class
     classed = buckets.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
     classed = written(classed, "classed")
     split = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    main = hubs.select("bucket", F.col("hub").alias("key")).join(labels, "key", "left").select("bucket", F.coalesce("label", "key").alias("main"))
-    rest = classed.join(split.join(main, "bucket"), "bucket")
-    rest = written(rest, "rest")
-    left = rest.where("label <> main").select("bucket", F.col("key").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"))
-    right = rest.select("bucket", F.col("key").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), (F.col("label") == F.col("main")).alias("in_main"))
-    more = left.join(right, "bucket").where((F.col("label_x") != F.col("label_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & alike(F.col("n_x"), F.col("n_y")))
-    more = more.select(*order(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti")
+    rest = classed.join(split, "bucket").join(hubs.select("bucket", "hub", "hub_n"), "bucket").where("key <> hub").select("hub", "hub_n", "key", "label", "n").distinct()
+    more = written(outside_pairs(rest, sets, config.threshold).join(first, ["a", "b"], "left_anti"), "pairs")
     late = written(verified(more, sets, config.threshold), "found")
     if not late.isEmpty():
         labels = components(links.union(late))
