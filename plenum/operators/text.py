@@ -37,7 +37,7 @@ def normalized(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts after . ! ? and white space, without a sentence that equals the one before it but for case."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     return F.filter(parts, lambda s, i: (i == 0) | (F.lower(s) != F.lower(F.get(parts, i - 1))))
 
 
@@ -74,7 +74,7 @@ def first_of_equal(records: DataFrame, seq: str = "seq") -> DataFrame:
 def spans(text: Column, phrase: str) -> Column:
     """Starts of all occurrences that don't overlap: lengths of what lies between them, summed."""
     parts = F.split(text, "\\Q" + phrase + "\\E", -1)
-    lengths = F.transform(parts, F.char_length)
+    lengths = F.transform(parts, lambda p: F.char_length(p))
     n, size = F.size(parts), len(phrase)
     at = F.aggregate(
         F.slice(lengths, 1, n - 1),
@@ -93,10 +93,13 @@ def matches(records: DataFrame, config: TextConfig = TextConfig(), keys: tuple[s
     """A row for each phrase found in "title. transcript", lower-cased: principle, span, action, target, polarity, confidence."""
     full = F.lower(F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("transcript_clean", F.lit("")))))
     rows = records.select(*keys, full.alias("text"))
-    found = F.flatten(F.array(*(
-        F.transform(spans(F.col("text"), phrase.lower()), lambda s, p=p, k=k, j=j, phrase=phrase: F.struct(F.lit(p).alias("principle"), F.lit(k).alias("principle_order"), F.lit(j).alias("phrase_order"), s.alias("char_start"), (s + len(phrase)).alias("char_end")))
-        for k, (p, phrases) in enumerate(config.principles) for j, phrase in enumerate(phrases)
-    )))
+    def located(k: int, principle: str, j: int, phrase: str) -> Column:
+        def place(s: Column) -> Column:
+            return F.struct(F.lit(principle).alias("principle"), F.lit(k).alias("principle_order"), F.lit(j).alias("phrase_order"), s.alias("char_start"), (s + len(phrase)).alias("char_end"))
+
+        return F.transform(spans(F.col("text"), phrase.lower()), place)
+
+    found = F.flatten(F.array(*(located(k, p, j, phrase) for k, (p, phrases) in enumerate(config.principles) for j, phrase in enumerate(phrases))))
     rows = rows.withColumn("m", F.explode(found)).select(*keys, "text", "m.*")
     left = F.greatest(F.col("char_start") - config.window, F.lit(0))
     right = F.least(F.col("char_end") + config.window, F.char_length("text"))

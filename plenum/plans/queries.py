@@ -384,10 +384,10 @@ def room_polygons(spark, sf_dir):
 
 # --- layout text
 
-LAYOUT = "SELECT l_orderkey AS room, l_linenumber, l_partkey, l_suppkey FROM lineitem"
+_LAYOUT_LINES = "SELECT l_orderkey AS room, l_partkey, l_suppkey, 'bbox_' || (l_partkey * 10 + l_linenumber) AS id, row_number() OVER (PARTITION BY l_orderkey, l_partkey * 10 + l_linenumber ORDER BY (l_partkey % 59 * 97) || 'e-3,' || (l_suppkey % 41 * 91) || 'e-3,,oops,0.5,1,-' || (l_partkey % 7) DESC) AS n FROM lineitem WHERE l_partkey % 11 <> 0 AND l_partkey % 13 <> 0"
 
 
-@query("a1_layout_parse", "SELECT DISTINCT l_orderkey AS room, 'bbox_' || (l_partkey * 10 + l_linenumber) AS id, 'furniture' AS kind, (l_partkey % 59 * 97) / 1000.0 AS x, (l_suppkey % 41 * 91) / 1000.0 AS y, (l_partkey % 7) / 10.0 AS depth FROM lineitem WHERE l_partkey % 11 <> 0 AND l_partkey % 13 <> 0")
+@query("a1_layout_parse", f"SELECT room, id, 'furniture' AS kind, (l_partkey % 59 * 97) / 1000.0 AS x, (l_suppkey % 41 * 91) / 1000.0 AS y, (l_partkey % 7) / 10.0 AS depth FROM ({_LAYOUT_LINES}) WHERE n = 1")
 def layout_parse(spark, sf_dir):
     """Layouts written as text and read back: comments, lines of other forms and short lines fall out, equal ids are one."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("room"), "l_partkey", "l_suppkey", "l_linenumber")

@@ -41,12 +41,12 @@ def parsed(line_rows: DataFrame, blanks_shift: bool = True) -> DataFrame:
     text = F.trim("line")
     rows = line_rows.where((text != "") & ~text.startswith("#")).withColumn("text", text)
     m = lambda k: F.regexp_extract("text", LINE, k)
-    params = F.transform(F.split(m(4), ","), F.trim)
+    params = F.transform(F.split(m(4), ","), lambda p: F.trim(p))
     rows = rows.withColumn("ctor", F.lower(m(3))).withColumn("params", F.filter(params, lambda p: p != "") if blanks_shift else params).withColumn("entity_id", F.concat(F.lower(m(1)), F.lit("_"), m(2)))
     enough = F.lit(False)
     for ctor, n in ARITY.items():
         enough = enough | ((F.col("ctor") == ctor) & (F.size("params") >= n))
-    reason = F.when(F.col("ctor") == "", "not a recognized SpatialLM entity").when(~enough, F.concat(F.lit("unsupported constructor/arity: "), m(3)))
+    reason = F.when(F.col("ctor") == "", "not a recognized layout entity").when(~enough, F.concat(F.lit("unsupported constructor/arity: "), m(3)))
     return rows.withColumn("reason", reason).drop("text")
 
 
@@ -81,7 +81,7 @@ def entities(parsed_rows: DataFrame) -> DataFrame:
     n = lambda k: number(F.get("params", F.lit(k)))
     fixed = fixed.select("room", F.col("line_number").alias("seq"), F.col("entity_id").alias("id"), F.col("ctor").alias("kind"), F.col("ctor").alias("label"), *(n(k).alias(c) for k, c in enumerate(("x", "y", "z", "width", "height"), 1)), wall_id(F.get("params", F.lit(0))).alias("wall_id"), F.when(F.col("ctor") == "door", 1).otherwise(2).alias("part"))
     own = wall_rows.select("room", F.col("id").alias("wall_id"), F.atan2(dy, dx).alias("w_yaw"), "thickness")
-    fixed = fixed.join(own, ["room", "wall_id"], "left").withColumn("yaw", F.coalesce("w_yaw", F.lit(0.0))).withColumn("depth", F.coalesce(F.greatest("thickness", F.lit(0.08)), F.lit(0.10)))
+    fixed = fixed.join(own, ["room", "wall_id"], "left").withColumn("yaw", F.coalesce("w_yaw", F.lit(0.0))).withColumn("depth", F.when(F.col("thickness").isNull(), 0.10).otherwise(F.greatest("thickness", F.lit(0.08))))
     label = F.get("params", F.lit(0))
     boxes = parsed_rows.where("reason IS NULL AND ctor = 'bbox'").select("room", F.col("line_number").alias("seq"), F.col("entity_id").alias("id"), F.when(F.lower(label) == "unknown", "unknown").otherwise("furniture").alias("kind"), label.alias("label"), n(1).alias("x"), n(2).alias("y"), n(3).alias("z"), g.normal_yaw(n(4)).alias("yaw"), F.abs(n(5)).alias("width"), F.abs(n(6)).alias("depth"), F.abs(n(7)).alias("height"), null.alias("wall_id"), F.lit(3).alias("part"))
     columns = [c for c in ENTITY if c != "ord"]
