@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -79,7 +80,7 @@ def discovered(spark: SparkSession, root: str, name: str = "scene.json", recursi
     """room, path and mtime of scene files one level below a root, or at any level; a file at the root itself is none."""
     pattern = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    below = F.regexp_extract(F.col("path"), F.lit("^(?:[a-z]+:)?/*" + base.lstrip("/").replace(".", r"\.") + "/(.+)/[^/]+$"), 1)
+    below = F.regexp_extract(F.col("path"), "^(?:[a-z]+:)?/*" + re.escape(base.lstrip("/")) + "/(.+)/[^/]+$", 1)
     rows = pattern.select(below.alias("room"), "path", F.col("modificationTime").alias("mtime")).where("room <> ''")
     return (rows if recursive else rows.where(~F.contains("room", F.lit("/")))).orderBy("room")
 
