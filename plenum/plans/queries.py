@@ -701,3 +701,74 @@ def display_order(spark, sf_dir):
     s = Scene(spark, sf_dir)
     rows = s.furniture.select("room", "id", "kind").unionByName(s.fixtures.select("room", "id", "kind")).unionByName(s.walls.select("room", "id", F.lit("wall").alias("kind")))
     return rows.select("room", "id", F.row_number().over(Window.partitionBy("room").orderBy(en.index_of(F.col("kind"), vocab.KINDS), "id")).alias("place"))
+
+
+# --- counters, summaries, the model
+
+_ZONES = "z AS (SELECT room FROM sz UNION ALL SELECT room FROM bz UNION ALL SELECT room FROM dz)"
+
+
+@query("a14_summaries", f"{RULE_BASE}, {_ZONES}, chk AS ({CHECKS}) SELECT r.room, (SELECT count(*) FROM ent e WHERE e.room = r.room) AS n_objects, 4::BIGINT AS n_walls, (SELECT count(*) FROM fix f WHERE f.room = r.room AND f.kind = 'door') AS n_doors, (SELECT count(*) FROM z WHERE z.room = r.room) AS n_zones, (SELECT count(*) FROM entry d WHERE d.room = r.room AND is_entry) AS entry_count, (SELECT count(*) FROM chk c WHERE c.room = r.room AND status = 'violated') AS principle_violations, (SELECT count(*) FROM chk c WHERE c.room = r.room AND status = 'weak') AS principle_warnings FROM room r")
+def summaries(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    t = tables(s)
+    t.zones = t.zones.persist()
+    columns = ("room", "kind")
+    entities = s.furniture.select(*columns).unionByName(s.fixtures.select(*columns)).unionByName(rel.wall_entities(s.walls).select(*columns))
+    rows = ru.summary(entities, t.doors, t.zones, rel.fixture_edges(s.fixtures, s.walls), checks(spark, sf_dir), zo.focal_points(s.furniture, s.fixtures, t.zones))
+    names = ("n_objects", "n_walls", "n_doors", "n_zones", "entry_count", "principle_violations", "principle_warnings")
+    return rows.select("room", *(F.col(n).cast("long").alias(n) for n in names))
+
+
+@query("f7_principle_edges", f"{RULE_BASE}, chk AS ({CHECKS}) SELECT room, target AS src, 'room_0' AS dst, 'principle_' || principle AS type, round(score, 6) + 0.0 AS score FROM chk")
+def principle_edges(spark, sf_dir):
+    return ru.check_edges(checks(spark, sf_dir)).select("room", "src", "dst", "type", r("score"))
+
+
+@query("g20_view_bounds", f"WITH {q.ENT}, b AS (SELECT room, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ent GROUP BY room) SELECT room, {q.r('x0 - 0.06 * greatest(x1 - x0, y1 - y0, 1.0)', 'min_x')}, {q.r('x1 + 0.06 * greatest(x1 - x0, y1 - y0, 1.0)', 'max_x')}, {q.r('y0 - 0.06 * greatest(x1 - x0, y1 - y0, 1.0)', 'min_y')}, {q.r('y1 + 0.06 * greatest(x1 - x0, y1 - y0, 1.0)', 'max_y')} FROM b")
+def view_bounds(spark, sf_dir):
+    """What a view of the centres shows, with a margin of its larger side."""
+    b = Scene(spark, sf_dir).furniture.groupBy("room").agg(*(f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+    pad = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0)) * 0.06
+    return b.select("room", r(F.col("x0") - pad, "min_x"), r(F.col("x1") + pad, "max_x"), r(F.col("y0") - pad, "min_y"), r(F.col("y1") + pad, "max_y"))
+
+
+@query("g21_edge_types", f"WITH {q.ENT}, {PAIR}, e AS ({OBJECT_EDGES}) SELECT room, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM e GROUP BY room")
+def edge_types(spark, sf_dir):
+    return _object_edges(spark, sf_dir).groupBy("room").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+
+
+@query("g16_nodes_per_type", f"WITH {q.SCENE} SELECT 'object' AS node_type, count(*) AS n FROM ent UNION ALL SELECT 'wall', count(*) FROM wall UNION ALL SELECT kind, count(*) FROM fix GROUP BY kind")
+def nodes_per_type(spark, sf_dir):
+    return en.node_vectors(_graph(spark, sf_dir)[0]).groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+_EPOCH = "epoch AS (SELECT user_id % 10 AS run, event_id // 100 AS epoch, avg(value) AS m FROM events GROUP BY 1, 2)"
+
+
+@query("h11_best_epochs", f"WITH {_EPOCH} SELECT run, epoch, {q.r('m', 'macro_f1')}, coalesce(m > max(m) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM epoch")
+def best_epochs(spark, sf_dir):
+    """Epoch means, and which of them beat all before."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("run"), F.floor(F.col("event_id") / 100).alias("epoch")).agg(F.avg("value").alias("macro_f1"))
+    return sc.running_best(e).select("run", "epoch", r("macro_f1"), "is_best")
+
+
+@query("e5_applicable_cells", f"WITH {q.SCENE} SELECT room, 'object' AS node_type, count(*) * 7 AS cells FROM ent GROUP BY room UNION ALL SELECT room, 'door', count(*) FROM fix WHERE kind = 'door' GROUP BY room")
+def applicable_cells(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    types = s.furniture.select("room", F.lit("object").alias("node_type")).unionByName(s.fixtures.select("room", F.col("kind").alias("node_type")))
+    size = F.lit(0)
+    for kind, principles in vocab.APPLICABLE.items():
+        size = F.when(F.col("node_type") == kind, len(principles)).otherwise(size)
+    return types.groupBy("room", "node_type").agg(F.sum(size).alias("cells")).where("cells > 0")
+
+
+@query("k7_predictions")
+def model_predictions(spark, sf_dir):
+    """The attention model with its initial weights, over every room."""
+    from ..operators import model as md
+
+    nodes, edges = _graph(spark, sf_dir)
+    vectors = en.node_vectors(nodes)
+    rows = md.predictions(vectors, en.edge_vectors(edges, vectors.select("room", "id", "node_type"), reverse=True), md.init_weights())
+    return rows.select("room", "target", "principle", "status", "score")
