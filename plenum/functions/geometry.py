@@ -44,9 +44,26 @@ def yaw_difference(a: Column, b: Column) -> Column:
     return F.least(d, 180.0 - d)
 
 
+CORNERS = tuple(f"c{k}{c}" for k in range(4) for c in "xy")
+#: the columns that Box.of() reads
+BOXED = ("x", "y", "width", "depth", "yaw", "cos", "sin", *CORNERS)
+
+
 def boxed(df: DataFrame) -> DataFrame:
-    """A table of boxes with cosine and sine of yaw, which are then computed once for each box and not for each pair."""
-    return df.withColumns({"cos": F.cos("yaw"), "sin": F.sin("yaw")})
+    """A table of boxes with what is computed once for each box and not for each pair: cosine and sine of yaw, and corners.
+
+    Corners: back left, back right, front right, front left.
+    """
+    df = df.withColumns({"cos": F.cos("yaw"), "sin": F.sin("yaw")})
+    signs = ((-1, -1), (1, -1), (1, 1), (-1, 1))
+    x = lambda u, v: F.col("x") + F.col("width") / 2 * u * F.col("cos") - F.col("depth") / 2 * v * F.col("sin")
+    y = lambda u, v: F.col("y") + F.col("width") / 2 * u * F.col("sin") + F.col("depth") / 2 * v * F.col("cos")
+    return df.withColumns({f"c{k}{c}": f(u, v) for k, (u, v) in enumerate(signs) for c, f in (("x", x), ("y", y))})
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed here: filters and projections above don't repeat the expressions below."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 @dataclass(frozen=True)
@@ -60,11 +77,12 @@ class Box:
     yaw: Column
     cos: Column
     sin: Column
+    corners: list[Point]
 
     @classmethod
     def of(cls, prefix: str = "") -> Box:
         """The box in columns of a table that boxed() has been applied to."""
-        return cls(*(F.col(f"{prefix}{c}") for c in ("x", "y", "width", "depth", "yaw", "cos", "sin")))
+        return cls(*(F.col(f"{prefix}{c}") for c in BOXED[:7]), [(F.col(f"{prefix}c{k}x"), F.col(f"{prefix}c{k}y")) for k in range(4)])
 
     @property
     def forward(self) -> Point:
@@ -84,12 +102,6 @@ class Box:
         dx, dy = p[0] - self.x, p[1] - self.y
         return dx * c + dy * s, dy * c - dx * s
 
-    @property
-    def corners(self) -> list[Point]:
-        """Back left, back right, front right, front left."""
-        w, d = self.width / 2, self.depth / 2
-        return [self.world(-w, -d), self.world(w, -d), self.world(w, d), self.world(-w, d)]
-
     @property
     def back(self) -> tuple[Point, Point]:
         """The edge farthest behind, for forward = +y the first."""

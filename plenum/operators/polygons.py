@@ -110,7 +110,7 @@ def path_blocking(pairs: DataFrame, furniture: DataFrame, config: SceneConfig =
 
     a, b = (F.col("s_x"), F.col("s_y")), (F.col("t_x"), F.col("t_y"))
     keys = pairs.select("room", "s_ord", "t_ord", "s_x", "s_y", "t_x", "t_y").where("s_x <> t_x OR s_y <> t_y")
-    others = side(furniture.where(~soft(F.col("label"))), "o_", ("x", "y", "width", "depth", "yaw", "cos", "sin", "ord"))
+    others = side(furniture.where(~soft(F.col("label"))), "o_", (*g.BOXED, "ord"))
     rows = keys.join(others, "room").where((F.col("o_ord") != F.col("s_ord")) & (F.col("o_ord") != F.col("t_ord")) & (g.Box.of("o_").distance_to_segment(a, b) < config.corridor_radius))
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

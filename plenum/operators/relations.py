@@ -17,7 +17,7 @@ from ..config import SceneConfig
 from ..functions import geometry as g
 from ..functions import vocab
 
-BOX = ("x", "y", "width", "depth", "yaw", "cos", "sin", "height", "label", "ord", "id")
+BOX = (*g.BOXED, "height", "label", "ord", "id")
 #: every edge has these features, null where a type has none
 FEATURES = ("distance_m", "angle_error_deg", "angle_diff_deg", "overlap_m2", "clearance_m", "yaw_diff_deg", "coverage", "length_m", "score")
 

@@ -97,7 +97,7 @@ def solid_backing(t: Tables) -> DataFrame:
     backed = t.backings.groupBy("room", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("backs"))
     me = g.Box.of("a_")
     cut = g.Box.of("f_").distance_to_segment(*me.back)
-    cuts = side(targets, "a_").join(side(t.fixtures, "f_", ("id", "x", "y", "width", "depth", "yaw", "cos", "sin", "ord")), "room").where((cut < 0.2) & (cut <= t.config.fixture_cut))
+    cuts = side(targets, "a_").join(side(t.fixtures, "f_", ("id", *g.BOXED, "ord")), "room").where(cut <= min(0.2, t.config.fixture_cut))
     cuts = cuts.groupBy("room", F.col("a_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("f_ord", "f_id"))).alias("c")).select("room", "id", F.transform("c", lambda x: x["f_id"]).alias("cuts"))
     rows = targets.join(backed, ["room", "id"], "left").join(cuts, ["room", "id"], "left")
     bare, is_cut = F.col("backs").isNull(), F.col("cuts").isNotNull()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.geometry import settled
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ def stable_id(url: Column, date: Column, title: Column, row_index: Column) -> Co
 def cleaned(records: DataFrame, config: TextConfig = TextConfig()) -> DataFrame:
     """records with title and transcript_raw normalised, transcript_clean, sentences and quality_flags."""
     rows = records.withColumn("title", normalized(F.col("title"))).withColumn("transcript_raw", normalized(F.col("transcript_raw")))
-    rows = rows.withColumn("sentences", sentences(F.col("transcript_raw"))).withColumn("transcript_clean", F.array_join("sentences", " "))
+    rows = settled(rows.withColumn("sentences", sentences(F.col("transcript_raw"))))
+    rows = settled(rows.withColumn("transcript_clean", F.array_join("sentences", " ")))
     words = F.size(word_tokens(F.col("transcript_clean")))
     ratio = english_ratio(F.col("transcript_clean"))
     flags = F.struct((words < config.short_words).alias("too_short"), (words > config.long_words).alias("too_long"), ((ratio < config.english_least) & (words > config.english_from)).alias("non_english"))
@@ -92,7 +94,7 @@ def _first_word(window: Column, words: tuple[str, ...]) -> Column:
 def matches(records: DataFrame, config: TextConfig = TextConfig(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each phrase found in "title. transcript", lower-cased: principle, span, action, target, polarity, confidence."""
     full = F.lower(F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("transcript_clean", F.lit("")))))
-    rows = records.select(*keys, full.alias("text"))
+    rows = settled(records.select(*keys, full.alias("text")))
     def located(k: int, principle: str, j: int, phrase: str) -> Column:
         def place(s: Column) -> Column:
             return F.struct(F.lit(principle).alias("principle"), F.lit(k).alias("principle_order"), F.lit(j).alias("phrase_order"), s.alias("char_start"), (s + len(phrase)).alias("char_end"))
@@ -100,11 +102,11 @@ def matches(records: DataFrame, config: TextConfig = TextConfig(), keys: tuple[s
         return F.transform(spans(F.col("text"), phrase.lower()), place)
 
     found = F.flatten(F.array(*(located(k, p, j, phrase) for k, (p, phrases) in enumerate(config.principles) for j, phrase in enumerate(phrases))))
-    rows = rows.withColumn("m", F.explode(found)).select(*keys, "text", "m.*")
+    rows = rows.select(*keys, "text", F.inline(found))
     left = F.greatest(F.col("char_start") - config.window, F.lit(0))
     right = F.least(F.col("char_end") + config.window, F.char_length("text"))
     window = F.substring(F.col("text"), left + 1, right - left)
-    rows = rows.withColumn("window", window).withColumn("evidence_span", F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("text")
+    rows = settled(rows.withColumn("window", window)).withColumn("evidence_span", F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("text")
     joined = F.array_join(F.regexp_extract_all("window", F.lit("[a-zA-Z_'-]+"), F.lit(0)), " ")
     action = _first_word(F.col("window"), config.actions)
     target = F.coalesce(_first_word(F.col("window"), config.targets), F.when(F.contains(joined, F.lit("living room")), "living_room"))
@@ -112,6 +114,7 @@ def matches(records: DataFrame, config: TextConfig = TextConfig(), keys: tuple[s
     for word in config.avoid:
         avoid = avoid | F.contains("window", F.lit(word))
     rows = rows.withColumn("action", action).withColumn("target", target).withColumn("polarity", F.when(avoid, "avoid").otherwise("promote"))
+    rows = settled(rows)
     score = F.least(F.lit(0.98), F.lit(0.75) + F.when(F.col("action").isNotNull(), 0.1).otherwise(0.0) + F.when(F.col("target").isNotNull(), 0.1).otherwise(0.0))
     return rows.withColumn("confidence", F.round(score, 3)).drop("window")
 

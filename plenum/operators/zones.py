@@ -86,9 +86,9 @@ def _members(anchors: DataFrame, parts: list[tuple[str, DataFrame]]) -> DataFram
 def bed_zones(furniture: DataFrame, config: SceneConfig = SceneConfig()) -> DataFrame:
     label = F.col("label")
     beds, stands, lamps = (furniture.where(is_in(label, n)) for n in (vocab.BEDS, vocab.NIGHTSTANDS, vocab.LAMPS))
-    near_stands = _near(beds, stands, config.nightstand)
+    near_stands = g.settled(_near(beds, stands, config.nightstand))
     near_lamps = _near(beds, lamps, config.nightstand).select("room", "a_ord", "o_ord", "o_id")
-    matched = near_stands.select("room", "a_ord", *(F.col(f"o_{c}").alias(f"n_{c}") for c in ("x", "y", "width", "depth", "yaw", "cos", "sin")))
+    matched = near_stands.select("room", "a_ord", *(F.col(f"o_{c}").alias(f"n_{c}") for c in g.BOXED))
     by_stand = matched.join(side(lamps, "o_"), "room").where(g.box_box(g.Box.of("n_"), g.Box.of("o_")) <= config.lamp_of_nightstand).select("room", "a_ord", "o_ord", "o_id")
     rows = _members(beds, [("stands", near_stands), ("lamps", near_lamps.unionByName(by_stand))])
     number = F.row_number().over(Window.partitionBy("room").orderBy("ord")) - 1

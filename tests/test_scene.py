@@ -154,7 +154,12 @@ def test_box_distance(spark):
     rows = [tuple(r.uniform(-2, 2) if i % 5 < 2 else r.uniform(0.1, 1.5) for i in range(10)) for _ in range(60)]
     names = [f"{p}{c}" for p in ("a_", "b_") for c in ("x", "y", "width", "depth", "yaw")]
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
-    df = df.withColumns({f"{p}{n}": f(F.col(f"{p}yaw")) for p in ("a_", "b_") for n, f in (("cos", F.cos), ("sin", F.sin))})
+    df = df.withColumn("n", F.monotonically_increasing_id()).cache()
+    parts = []
+    for p in ("a_", "b_"):
+        one = g.boxed(df.select("n", *(F.col(f"{p}{c}").alias(c) for c in ("x", "y", "width", "depth", "yaw"))))
+        parts.append(one.select("n", *(F.col(c).alias(f"{p}{c}") for c in g.BOXED)))
+    df = parts[0].join(parts[1], "n").orderBy("n")
     got = [x.d for x in df.select(g.box_box(g.Box.of("a_"), g.Box.of("b_")).alias("d")).collect()]
 
     def edge_points(box):
