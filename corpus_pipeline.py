@@ -12,9 +12,8 @@ from plenum.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, learnt from the labelled ones that aren't held out, takes for label 1."""
     labels = table(spark, sf_dir, "labels")
-    # only rows with a label are measured for the fit; a broadcast only if Spark finds the labels small
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    stats = written(quality_classifier.document_statistics(labelled), "statistics")
+    # statistics are joined with labels, so that no text is
+    stats = written(quality_classifier.document_statistics(docs), "statistics")
     return quality_classifier.keep_quality(docs, quality_classifier.quality_model(stats, labels))
 
 

@@ -262,10 +262,12 @@ def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     w = Window.partitionBy("doc_id", "tie").orderBy("start")
     spans = mixed.parts.groupBy("doc_id", "tie", "skey", "start", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("word") + F.col("taken")).alias("until")))).alias("spans"), F.sum("taken").alias("n"))
     # rows that are equal in id and text are told apart by their order only
-    order = mixed.laid.where("size > 0").select("doc_id", "tie", "skey", "start", F.row_number().over(w).alias("twin"))
+    laid = mixed.laid.where("size > 0")
+    twins = not laid.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
+    order = laid.select("doc_id", "tie", "skey", "start", (F.row_number().over(w) if twins else F.lit(1)).alias("twin"))
     spans = spans.join(order.select("skey", "start", "twin"), ["skey", "start"]).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "twin", "epoch", "size", "spans", "n")
     tie = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.withColumn("__tie", tie).withColumn("__twin", F.row_number().over(Window.partitionBy("doc_id", "__tie").orderBy(F.lit(0))))
+    rows = docs.withColumn("__tie", tie).withColumn("__twin", F.row_number().over(Window.partitionBy("doc_id", "__tie").orderBy(F.lit(0))) if twins else F.lit(1))
     both = rows.join(spans, rows["doc_id"].cast("long").eqNullSafe(spans["d"]) & (rows["__tie"] == spans["t"]) & (rows["__twin"] == spans["twin"]))
     partial = F.col("n") < F.col("size")
 
