@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +26,14 @@ BROADCAST_BYTES = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches of a fifth of Spark's default number of rows, unless the session has its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
+    small_batches(spark)
     path = f"{shared_folder(spark)}/plenum-{what}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
@@ -75,18 +86,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-class HashMemo(dict):
-    """xxh3 of byte strings; it forgets everything when it is full."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def worker_kept(key, make):
+    """What make() gives, kept from task to task while a Python worker lives."""
+    kept = sys.modules.setdefault("_plenum_worker", types.ModuleType("_plenum_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +135,20 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np
     return value, out_bounds
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many bytes of text or rows; a single longer text is a batch of its own."""
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes of text or rows; a single longer text is a batch of its own.
+
+    Memory that is kept for later is given back after each of the incoming batches, as workers live on between tasks.
+    """
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0), dtype=np.int64)
         start, total = 0, 0
@@ -142,3 +159,5 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20,
             total += size
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        give_back()

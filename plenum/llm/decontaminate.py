@@ -242,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
     for index in indexes(benchmark, config):
 
         def found(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text", limit=6 << 20):
+            for batch in sliced(batches, "text", limit=3 << 20):
                 rows = find_in_batch(batch.column(0).to_pylist(), batch.column(1), index)
                 if rows:
                     columns = zip(*rows, strict=True)
@@ -259,7 +259,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = Le
     for index in indexes(benchmark, config):
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text", limit=6 << 20):
+            for batch in sliced(batches, "text", limit=3 << 20):
                 kept = np.ones(batch.num_rows, bool)
                 texts = batch.column(batch.schema.get_field_index("text"))
                 kept[[r[0] for r in find_in_batch(list(range(batch.num_rows)), texts, index)]] = False
