@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, sliced
+from .common import scratch, sliced, worker_kept
 
 #: Ids and bits an id, by selector (fixed values of the coding).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 60) - 1
+SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 BLOCK = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, word_at array<long>, words binary, escapes binary"
 
@@ -41,9 +43,11 @@ def pack(values: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndar
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     # np.frexp rounds above 2^53, where only the widest selector is left
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
-    escaped = values >= np.uint64(ESCAPE)
-    bits[values >= np.uint64(1 << 53)] = 60
+    if values.max() < len(SMALL_BITS):
+        bits, escaped = SMALL_BITS[values], np.zeros(n, bool)
+    else:
+        bits, escaped = np.frexp(values.astype(np.float64))[1].astype(np.uint8), values >= np.uint64(ESCAPE)
+        bits[values >= np.uint64(1 << 53)] = 60
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
     choice = np.full(n, 15, np.uint8)
     span, reach = bits, 1  # span[i]: most bits in values[i : i + reach]
@@ -71,8 +75,10 @@ def pack(values: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndar
     for s in range(2, 16):
         at = np.flatnonzero(chosen == s)
         if len(at):
-            part = held[starts[at][:, None] + np.arange(COUNTS[s])] << (np.uint64(4) + np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s]))
-            words[at] |= np.bitwise_or.reduce(part, axis=1)
+            place, part = starts[at], words[at]
+            for k in range(int(COUNTS[s])):
+                part |= held[place + k] << np.uint64(4 + k * int(WIDTHS[s]))
+            words[at] = part
     return words, values[escaped], np.searchsorted(starts, np.concatenate([[0], ends[:-1]]))
 
 
@@ -92,39 +98,56 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Ids of words by word.  A second dictionary holds the last generation: what isn't asked for again is forgotten."""
+    """Slots of words; a slot is a part of a pool of ids.  When it holds too many words it forgets them all."""
 
     def __init__(self, encoder: WordEncoder, before: str, keep: int):
         super().__init__()
-        self.encoder, self.before, self.keep, self.old = encoder, before, keep, {}
+        self.encoder, self.before, self.keep = encoder, before, keep
+        self.forget()
 
-    def ready(self, wanted: set[str]) -> None:
+    def forget(self) -> None:
+        self.clear()
+        # slot 0: words with other white space, whose texts are encoded whole
+        self.start, self.size, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def slots(self, words: list[str]) -> np.ndarray:
         if len(self) > self.keep:
-            self.old = dict(self)
-            self.clear()
-        if self.old:
-            for word in wanted & self.old.keys():
-                self[word] = self.old.pop(word)
-        missing = list(wanted.difference(self))
-        for at in range(0, len(missing), 512):
-            self._learn(missing[at : at + 512])
-
-    def _learn(self, words: list[str]) -> None:
-        """Many words in one text: the ids of each begin at an id that only a separator gives."""
-        strange = {w for w in words if len(w.split()) != 1 or w.split()[0] != w}
-        self.update(dict.fromkeys(strange))  # None: other white space; its text is encoded whole
-        words = [w for w in words if w not in strange]
-        if not words:
-            return
+            self.forget()
+        out = list(map(self.get, words))
+        missing = [w for w, v in zip(words, out, strict=True) if v is None]
+        if missing:
+            self.learn(missing)
+            out = list(map(self.__getitem__, words))
+        return np.array(out, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes many words in one text: the ids of each begin at an id that only a separator gives."""
         e, space = self.encoder, self.before == " "
-        ids = e.raw([self.before + self.before.join(words)])[0]
-        begin = np.flatnonzero(e.spaced[ids] if space else ids == e.line_feed)
-        if len(begin) == len(words):
-            raw = ids.astype("<u4").tobytes()
-            starts, ends = (4 * begin if space else 4 * begin + 4).tolist(), [*(4 * begin[1:]).tolist(), 4 * len(ids)]
-            self.update((w, raw[a:b]) for w, a, b in zip(words, starts, ends, strict=True))
-        else:
-            self.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(words, e.raw([" " + w if space else w for w in words]), strict=True))
+        starts, sizes, pools, used = [], [], [], len(self.pool)
+        n = len(self.start)
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            if len(" ".join(some).split()) != len(some):
+                strange = {w for w in some if w.split() != [w]}
+                self.update(dict.fromkeys(strange, 0))
+                some = [w for w in some if w not in strange]
+                if not some:
+                    continue
+            ids = e.raw([self.before + self.before.join(some)])[0]
+            begin = np.flatnonzero(e.spaced[ids] if space else ids == e.line_feed)
+            if len(begin) == len(some):
+                ends = np.append(begin[1:], len(ids))
+                begin = begin if space else begin + 1
+            else:
+                own = e.raw([" " + w if space else w for w in some])
+                ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+                begin = ends - [len(x) for x in own]
+            self.update(zip(some, range(n, n + len(some)), strict=True))
+            starts.append(begin + used)
+            sizes.append(ends - begin)
+            pools.append(ids)
+            n, used = n + len(some), used + len(ids)
+        self.start, self.size, self.pool = np.concatenate([self.start, *starts]), np.concatenate([self.size, *sizes]), np.concatenate([self.pool, *pools])
 
 
 class WordEncoder:
@@ -134,14 +157,14 @@ class WordEncoder:
     white space is the sequence of its words, each with the space before it; any other text is encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.line_feed = int(self.raw(["\n"])[0][0])
-        self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 4)
+        self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 6)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -149,39 +172,45 @@ class WordEncoder:
             out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lines: list[list[list[str]]] = []
-        inner: set[str] = set()
-        first: set[str] = set()
-        for text in texts:
-            split = [line.split(" ") for line in text.split("\n")]
-            lines.append(split)
-            for words in split:
-                inner.update(words)
-                first.add(words[0])
+    def __call__(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of every text, and the end id.  Null texts are empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        bounds = np.asarray(lists.offsets, np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        codes, table = np.asarray(words.indices, np.int64), words.dictionary.to_pylist()
+        feed = table.index("\n") if "\n" in table else -1
+        # a word that begins a text or a line has no space before it
+        first = np.zeros(len(codes), bool)
+        first[bounds[:-1]] = True
+        first[1:] |= codes[:-1] == feed
+        heads = np.unique(codes[first])
+        special = np.array([w in ("", "\n") for w in table])
+        slots = np.zeros(len(table), np.int64)
+        slots[~special] = self.inner.slots([w for w in table if w and w != "\n"])
+        head_slots = np.zeros(len(heads), np.int64)
+        head_slots[~special[heads]] = self.first.slots([w for k in heads if (w := table[k]) and w != "\n"])
         # an empty word: two spaces, or a space or line feed next to a line feed or an end of the text
-        inner.discard("")
-        first.discard("")
-        self.inner.ready(inner)
-        self.first.ready(first)
-        feed = np.array([self.line_feed], "<u4").tobytes()
-        at_inner, at_first, out = self.inner.__getitem__, self.first.__getitem__, []
-        for split in lines:
-            try:
-                parts: list[bytes] = []
-                for words in split:
-                    at = len(parts)
-                    parts += map(at_inner, words)
-                    parts[at] = at_first(words[0])
-                    parts.append(feed)
-                parts.pop()
-                out.append(b"".join(parts))
-            except (KeyError, TypeError):
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids.astype("<u4").tobytes()
-        return out
+        strange = np.concatenate([slots == 0, head_slots == 0])
+        start = np.concatenate([self.inner.start[slots], self.first.start[head_slots] + len(self.inner.pool)])
+        sizes = np.concatenate([self.inner.size[slots], self.first.size[head_slots]])
+        pool = np.concatenate([self.inner.pool, self.first.pool, np.array([self.line_feed], np.uint32)])
+        if feed >= 0:
+            strange[feed], start[feed], sizes[feed] = False, len(pool) - 1, 1
+        codes[first] = len(table) + np.searchsorted(heads, codes[first])
+        lengths = sizes[codes]
+        whole = np.add.reduceat(strange[codes].astype(np.int64), bounds[:-1]) > 0
+        counts = np.add.reduceat(lengths, bounds[:-1])
+        at = np.repeat(start[codes] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        out = np.full(len(at) + len(counts), end, "<u4")
+        out[np.arange(len(at)) + np.repeat(np.arange(len(counts)), counts)] = pool[at]
+        ends = np.cumsum(counts + 1)
+        ids = [out[b - n - 1 : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        odd = np.flatnonzero(whole).tolist()
+        for i, own in zip(odd, self.raw([texts[i].as_py() for i in odd]), strict=True):
+            ids[i] = np.append(own, np.uint32(end)).astype("<u4")
+        return ids
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, end_id: int = 0, block_ids: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -192,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, e
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = worker_kept(("encoder", tokenizer), lambda: WordEncoder(tokenizer))
         held: list[tuple] = []
         ids = 0
 
@@ -205,9 +234,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, e
             block, first, held, ids = block + 1, first + ids, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
-        for batch in sliced(batches, "text", limit=4 << 20):
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                values = np.frombuffer(raw + end, "<u4")
+        for batch in sliced(batches, "text", limit=5 << 20):
+            for doc_id, values in zip(batch.column(0).to_pylist(), encoder(batch.column(1), end_id), strict=True):
                 held.append((doc_id, values))
                 ids += len(values)
                 if ids >= block_ids:
@@ -218,7 +246,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, e
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = source.repartitionByRange(shards, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(encoded, BLOCK).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(encoded, BLOCK).write.option("compression", "snappy").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -226,16 +254,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"))
-                ends = np.cumsum(row["lengths"])
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends, row["lengths"], strict=True)]
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                words, escapes = (np.frombuffer(column[c][i].as_buffer(), "<u8") for c in ("words", "escapes"))
+                lengths = np.asarray(column["lengths"][i].values, dtype=np.int64)
+                ends = np.cumsum(lengths)
+                raw = memoryview(unpack(words, escapes).astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["first"] + ends - row["lengths"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "shard", "block", "in_shard", "n_tokens", "ids_crc32"],
-                )
+                shard, block = (np.full(n, column[c][i].as_py(), np.int32) for c in ("shard", "block"))
+                yield pa.RecordBatch.from_arrays([column["doc_ids"][i].values, pa.array(shard), pa.array(block), pa.array(column["first"][i].as_py() + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "shard", "block", "in_shard", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(BLOCK).parquet(path)
     docs = files.mapInArrow(decoded, "doc_id long, shard int, block int, in_shard long, n_tokens long, ids_crc32 long")
