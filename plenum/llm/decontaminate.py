@@ -4,8 +4,10 @@ Passages are windows of words, each twice as long as the longest item and half c
 a text holds lies in one of them whole.  Impacts are divided by the score that an item has as its own query: 1 says that
 a passage has all its terms.  Postings are in item order, cut into blocks that carry their greatest impact, on two levels.
 Sums of block maxima over whole batches of passages rule out most of them at once; the rest run block-max WAND one by
-one, which yields every item at or above the threshold.  Hits are verified: enough of the question's runs of five words and of the
-answer's words must be in the passage.
+one, which yields every item at or above the threshold.  Hits are verified.  What the passage has of the question is the
+share of its runs of five words or, if that is more, of its words less the fewest words to change, drop or insert that make
+it a stretch of the passage; of the answer, the share of its words.  Each must be enough, or lack a few words only while the
+whole item has enough; an answer of no more than these few words therefore decides nothing by itself.
 
 An item's answer is its last sentence or line, its question what comes before; an item of one sentence is cut in half.
 Null or empty items and texts match nothing.  Items with equal texts are reported each.
@@ -38,6 +40,8 @@ class LeakConfig:
     width: int = 5
     question: float = 0.8
     answer: float = 0.8
+    whole: float = 0.8
+    few: int = 3
     min_window: int = 64
     slab_items: int = 20_000
 
@@ -66,6 +70,19 @@ def runs(words: list[str], width: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
+def edits(words: list[str], passage: list[str]) -> int:
+    """The fewest words to change, drop or insert that make words a stretch of the passage."""
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes = np.array([numbers.get(w, -1) for w in passage], np.int64)
+    places = np.arange(len(codes) + 1)
+    row = np.zeros(len(codes) + 1, np.int64)
+    for w in words:
+        step = row + 1
+        step[1:] = np.minimum(step[1:], row[:-1] + (codes != numbers[w]))
+        row = np.minimum.accumulate(step - places) + places
+    return int(row.min())
+
+
 class Index:
     """Postings with block maxima.  items: (item_id, text), those without terms left out."""
 
@@ -106,6 +123,7 @@ class Index:
         longest = max((len(t.encode().split()) for _, t, _ in self.items), default=1)
         self.window = max(config.min_window, 2 * longest)
         parts = [question_and_answer(t) for _, t, _ in self.items]
+        self.asked = [q for q, _ in parts]
         self.questions = [runs(q, config.width) for q, _ in parts]
         self.answers = [Counter(a) for _, a in parts]
 
@@ -154,10 +172,18 @@ class Index:
     def overlaps(self, item: int, words: list[str]) -> tuple[float, float]:
         have, bag = runs_of(words, self.config.width, self.questions[item]), Counter(words)
         q = len(have) / max(len(self.questions[item]), 1)
+        if self.questions[item] and q < 1:
+            q = max(q, 1 - edits(self.asked[item], words) / len(self.asked[item]))
         wanted = self.answers[item]
         a = sum(min(n, bag[t]) for t, n in wanted.items()) / max(sum(wanted.values()), 1)
         return (q if self.questions[item] else 1.0), (a if wanted else 1.0)
 
+    def held(self, item: int, q: float, a: float) -> bool:
+        config, asked, answered = self.config, len(self.asked[item]), sum(self.answers[item].values())
+        lacks_q, lacks_a = (1 - q) * asked, (1 - a) * answered
+        enough = lambda share, least, lacks: share >= least - 1e-9 or lacks <= config.few + 1e-9
+        return enough(q, config.question, lacks_q) and enough(a, config.answer, lacks_a) and lacks_q + lacks_a <= (1 - config.whole) * (asked + answered) + 1e-9
+
 
 def runs_of(words: list[str], width: int, wanted: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
     width = len(next(iter(wanted))) if wanted else width
@@ -213,10 +239,11 @@ def find_in_batch(ids: list, texts: pa.Array, index: Index) -> list[tuple]:
         if cached[0] != doc:
             cached = (doc, [term(w.decode()) for w in texts[doc].as_py().encode().split()])
         first = int(begin[p] - bounds[doc])
-        words = [t for t in cached[1][first : first + window] if t]
+        margin = window // 8  # what insertions push over a passage's edges
+        words = [t for t in cached[1][max(0, first - margin) : first + window + margin] if t]
         for item, score in hits:
             q, a = index.overlaps(item, words)
-            if q >= index.config.question and a >= index.config.answer:
+            if index.held(item, q, a):
                 if (doc, item) not in best or best[doc, item][2] < score:
                     best[doc, item] = (index.items[item][0], first, score, q, a)
     return [(ids[doc], item_id, first, score, q, a) for (doc, _), (item_id, first, score, q, a) in best.items()]

@@ -218,6 +218,32 @@ def test_leaks(spark, sf):
     assert held and held <= got and len(got - held) <= 2
 
 
+def test_leaks_with_few_words_changed():
+    """Items of 20 words or more, answers of 1 to 9, in a longer text: one to three words changed, dropped or inserted."""
+    items = [(i, " ".join(words(i, 19 + i, 5000)) + ". " + " ".join(words(i + 500, 1 + i % 9, 5000)) + ".") for i in range(40)]
+    index, r = dc.Index(items, dc.LeakConfig()), random.Random(4)
+    texts, wanted = [], []
+    for i, text in items:
+        n = len(text.split())
+        edited = [(kind, [at]) for kind in ("change", "drop", "insert") for at in range(n)]
+        edited += [(kind, r.sample(range(n), k)) for kind in ("change", "drop", "insert") for k in (2, 3) for _ in range(3)]
+        for kind, places in edited:
+            w = text.split()
+            for at in sorted(places, reverse=True):
+                w[at : at + (kind != "insert")] = [f"q{r.randrange(10**6)}"] * (kind != "drop")
+            texts.append(" ".join([*words(i + 900, r.randrange(90), 60), *w, *words(i + 901, 40, 60)]))
+            wanted.append(i)
+    found = {(k, item) for k, item, *_ in dc.find_in_batch(list(range(len(texts))), pa.array(texts), index)}
+    assert [(k, i) for k, i in enumerate(wanted) if (k, i) not in found] == []
+    # the same words in another order, the question with another answer, and unrelated words aren't the item
+    other = []
+    for i, text in items:
+        w, (asked, answer) = text.split(), text.split(". ")
+        r.shuffle(w)
+        other += [" ".join(w), " ".join(words(i + 3000, 100, 5000))] + ([asked + " no such answer"] if len(answer.split()) > 3 else [])
+    assert dc.find_in_batch(list(range(len(other))), pa.array(other), index) == []
+
+
 def test_leaks_odd(spark, odd, empty):
     item = " ".join(words(50, 30, 3000)) + ". " + " ".join(words(51, 8, 3000)) + "."
     benchmark = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one. two")], "item_id long, text string")
