@@ -5,6 +5,9 @@ arrivals at random components, at a rate of its weight; the first element to arr
 value, so that two texts agree there with the probability of their probability Jaccard similarity.  An element ends when
 its next arrival is later than the latest first arrival of its text.
 
+Texts that repeat shingles have a second signature with all weights 1, which agrees at the rate of the plain Jaccard
+similarity; without repeats both are the same.  So copies that differ in how often they repeat a line are candidates too.
+
 Texts with the same words are one node.  Nodes that agree on all rows of a band are candidates.  Each bucket first
 compares its members with one hub, its most connected node; links found this way make classes.  Members of one bucket
 that are in different classes then go through an exact join on the shingles that they share besides the hub's.  So no pair of candidates is
@@ -88,18 +91,30 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def all_bands(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, texts: int, config: NearConfig) -> pa.ListArray:
+    """The distinct band hashes of each text: of its weighted signature, and of that with weights 1 if shingles are repeated."""
+    size = config.bands * config.rows
+    bands = band_hashes(prob_minhash(values, owner, 1 + np.log(counts), texts, size, config.seed), config.bands, config.rows)
+    repeats = np.zeros(texts, bool)
+    repeats[owner[counts > 1]] = True
+    own = repeats[owner]
+    at, number = np.flatnonzero(repeats), np.cumsum(repeats) - 1
+    unit = prob_minhash(values[own], number[owner[own]], np.ones(int(own.sum())), len(at), size, config.seed)
+    both = np.concatenate([bands, bands], axis=1)
+    both[at, config.bands :] = band_hashes(unit, config.bands, config.rows)
+    new = np.concatenate([np.ones_like(bands, bool), both[:, config.bands :] != bands], axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]), pa.int32()), pa.array(both[new]))
+
+
 def fingerprints(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, tie (a hash of the text), key (of the words; null without words), n (distinct shingles) and bands of every row."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = config.bands * config.rows
         for batch in sliced(batches, "text", limit=2 << 20, rows=500):
             hashes, bounds = word_hashes(batch.column(2))
             values, owner, counts = weighted(*shingles(hashes, bounds, config.width))
-            signature = prob_minhash(values, owner, 1 + np.log(counts), batch.num_rows, size, config.seed)
             keys = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
-            bands = band_hashes(signature, config.bands, config.rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * config.bands, pa.int32()), pa.array(bands.reshape(-1)))
+            lists = all_bands(values, owner, counts, batch.num_rows, config)
             n = np.bincount(owner, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), lists], names=["doc_id", "tie", "key", "n", "bands"])
 

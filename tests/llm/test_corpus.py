@@ -176,6 +176,22 @@ def test_near_duplicates_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
 
 
+def test_near_duplicates_that_repeat_lines(spark):
+    """Copies that repeat the same line a different number of times, some with a few other words besides."""
+    rows = []
+    for i in range(12):
+        body, line, r = words(i + 60, 90, 3000), words(i + 80, 20, 3000), random.Random(i)
+        rows.append((2 * i, " ".join(body + line * 2)))
+        for _ in range(i % 3):
+            body[r.randrange(90)] = f"x{r.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(body + line * (1000 if i % 2 else 60))))
+    want = classes_by_force(dict(rows))
+    assert len(set(want.values())) == 12
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()} == want
+    assert sorted(r.doc_id for r in nd.drop_near_duplicates(docs).collect()) == sorted(set(want.values()))
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = nd.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
