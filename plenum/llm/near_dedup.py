@@ -14,7 +14,7 @@ that are in different classes then go through an exact join on the shingles that
 left out but those whose ends are in one class already, and a bucket full of copies costs as many comparisons as it has
 members.  A pair is a link if the Jaccard similarity of its sets of shingles, from the whole texts, reaches the threshold.
 
-Texts without words, and null ones, are classes of their own.  A text shorter than five words is one shingle.  Rows with
+Texts without words are one node if they are equal, and have no links.  Null texts are classes of their own.  A text shorter than five words is one shingle.  Rows with
 null or equal ids are classed by their texts; the class id is the smallest id among the class.
 """
 
@@ -103,17 +103,21 @@ def all_bands(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, texts:
     both = np.concatenate([bands, bands], axis=1)
     both[at, config.bands :] = band_hashes(unit, config.bands, config.rows)
     new = np.concatenate([np.ones_like(bands, bool), both[:, config.bands :] != bands], axis=1)
+    new[np.bincount(owner, minlength=texts) == 0] = False  # without words there is nothing to band
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]), pa.int32()), pa.array(both[new]))
 
 
 def fingerprints(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """doc_id, tie (a hash of the text), key (of the words; null without words), n (distinct shingles) and bands of every row."""
+    """doc_id, tie (a hash of the text), key (of the words, or of a text without words; null for null texts), n (distinct shingles) and bands of every row."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", limit=2 << 20, rows=500):
             hashes, bounds = word_hashes(batch.column(2))
             values, owner, counts = weighted(*shingles(hashes, bounds, config.width))
             keys = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
+            for k in np.flatnonzero(np.diff(bounds) == 0):
+                text = batch.column(2)[int(k)].as_py()
+                keys[k] = None if text is None else xxhash.xxh3_128_digest(b"wordless " + text.encode())
             lists = all_bands(values, owner, counts, batch.num_rows, config)
             n = np.bincount(owner, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), lists], names=["doc_id", "tie", "key", "n", "bands"])
@@ -268,11 +272,11 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """The rows of docs without words, and one row of each class: that with the smallest id."""
+    """The rows of docs with a null text, and one row of each class: that with the smallest id."""
     found = classes(docs, config)
     _, firsts = _by_class(found)
     kept = written(firsts.select(F.col("first.doc_id").alias("__d"), F.col("first.tie").alias("__t")), "kept")
-    wordless = found.prints.where("key IS NULL").select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).distinct()
+    null = found.prints.where("key IS NULL").select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).distinct()
     repeated = not found.prints.where("key IS NOT NULL").groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
     rows = docs.withColumn("__tie", F.xxhash64("text"))
 
@@ -282,4 +286,4 @@ def drop_near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) ->
     out = those(kept)
     if repeated:
         out = out.dropDuplicates(["doc_id", "__tie"])
-    return out.unionByName(those(wordless)).select(*docs.columns)
+    return out.unionByName(those(null)).select(*docs.columns)

@@ -200,6 +200,13 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_words(spark):
+    docs = frame(spark, [(4, ""), (2, ""), (3, " \n"), (2, ""), (5, " \n"), (6, None), (7, None), (None, ""), (8, "one two")])
+    got = sorted((r.doc_id or 0, r.class_id) for r in nd.near_duplicates(docs).collect())
+    assert got == [(0, 2), (2, 2), (2, 2), (3, 3), (4, 2), (5, 3), (6, 6), (7, 7), (8, 8)]
+    assert sorted(r.doc_id for r in nd.drop_near_duplicates(docs).collect()) == [2, 3, 6, 7, 8]
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     common, a, b = (r.integers(1, 2**62, 300).astype(np.uint64) for _ in range(3))
