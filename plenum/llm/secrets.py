@@ -4,7 +4,8 @@ A token is a run of 20 or more characters of the base64 alphabets that mixes dig
 pattern's match overlaps.  Its encoding is inferred from its characters (hexadecimal, base32, base64), and its symbols
 are tested as draws from that alphabet:
 
-* chi-squared of uniformity, with its exact mean and variance for the token's length;
+* chi-squared of uniformity over the smallest of `ALPHABETS` that has all its characters, with its exact mean and variance
+  for the token's length (the sum of squared counts is the same over any of them);
 * runs above and below the middle of the alphabet;
 * correlation of each symbol with the next.
 
@@ -34,8 +35,14 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
+#: Alphabets besides hexadecimal and base32, smallest first: what a token is made of, and how many symbols there are.
+ALPHABETS = (("^[a-z2-7]+$", 32), ("^([0-9a-z]+|[0-9A-Z]+)$", 36), ("^[1-9A-HJ-NP-Za-km-z]+$", 58), ("^[0-9A-Za-z]+$", 62))
+
 
 @dataclass(frozen=True)
 class SecretConfig:
@@ -98,9 +105,12 @@ def _tested(span: Column, token: Column, config: SecretConfig) -> Column:
 
     s = F.when(is_hex, statistics(HEX, F.lower(body))).when(is_32, statistics(BASE32, body)).otherwise(statistics(BASE64, body))
 
+    fitting = F.coalesce(F.when(is_hex, 16), F.when(is_32, 32), *(F.when(body.rlike(pattern), size) for pattern, size in ALPHABETS), F.lit(64)).cast("double")
+
     def judged(s: Column) -> Column:
         free, n = s["size"] - 1, s["n"]
-        z_even = (s["chi"] - free) / F.sqrt(2 * free * (n - 1) / n)
+        own = fitting - 1
+        z_even = ((s["chi"] + n) * fitting / s["size"] - n - own) / F.sqrt(2 * own * (n - 1) / n)
         uneven = (n - 1) * F.greatest(s["size"] * config.word_repeat - 1, F.lit(0.5))
         z = (free + uneven - s["chi"]) / F.sqrt(2 * free + 4 * uneven)
         surprise = F.when(z > 0, (z * z / 2 + F.log(F.lit(2.0))) / F.log(F.lit(10.0))).otherwise(0.0)

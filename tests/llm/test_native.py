@@ -65,6 +65,21 @@ def test_random_tokens(spark):
     assert found >= 0.8 * len(planted) and sum(bool(s) for i, s in got.items() if i not in planted) <= 3
 
 
+def test_random_tokens_of_each_alphabet(spark):
+    """Long keys over restricted alphabets, tested over their own alphabet, are as random as those of base64."""
+    r, rows, planted = random.Random(9), [], {}
+    for alphabet in (sc.BASE36, sc.BASE36.upper(), sc.BASE32, sc.BASE32.lower(), sc.BASE58, sc.BASE62, sc.BASE64):
+        for n in (24, 32, 40, 48, 64, 128):
+            for _ in range(5):
+                i = len(rows)
+                planted[i] = (alphabet, n, "random:6:" + str(6 + n))
+                rows.append((i, "words " + "".join(r.choices(alphabet, k=n)) + " end"))
+    got = {x.doc_id: x.spans for x in sc.secret_digest(sc.secrets(frame(spark, rows))).collect()}
+    for alphabet in {a for a, *_ in planted.values()}:
+        of = [got[i] == span for i, (a, n, span) in planted.items() if a == alphabet and n >= 40]
+        assert sum(of) >= 0.85 * len(of), (alphabet, sum(of), len(of))
+
+
 def test_secrets_odd(spark, odd, empty):
     rows = sc.secret_digest(sc.secrets(odd)).collect()
     assert len(rows) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
