@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.  The same set is what bytes.split() and Arrow's ASCII split use.
@@ -38,10 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it one of our own.
+
+    That is a temporary one where Spark runs in a single process, and otherwise one below the warehouse.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="plenum-")
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="plenum-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plenum-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -72,6 +76,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 1024) -> DataFrame:
+    """df with the sum of `value` over all rows of the same keys whose `order` (a whole number from 0, unique there) is less.
+
+    Two levels: within a run of `width` numbers, and over runs, so that no task holds all rows of a key.
+    """
+    runs = df.withColumn("__run", F.floor(F.col(order) / width))
+    totals = runs.groupBy(*keys, "__run").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__run", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("__inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(totals, [*keys, "__run"])
+    return rows.withColumn(name, F.col("__before") + F.col("__inner")).drop("__run", "__inner", "__before")
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table, counted now, is small enough to be sent to every executor."""
     return df.count() * row_bytes <= limit

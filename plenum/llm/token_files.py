@@ -1,5 +1,9 @@
 """Token ids in binary files, packed by Simple-8b.
 
+Null and empty texts are the end id alone; a very long text is one document of its block, however many ids it has; equal
+texts and repeated rows are documents of their own, in the order of their ids, then of a hash of the text (null ids come
+first).  An empty table gives files without blocks, and no rows.  Other columns, whatever their names, aren't read.
+
 A 64-bit word holds a selector in its low four bits and, above it, as many ids of equal width as the selector says.
 Selectors 0 and 1 stand for runs of zeros, 15 for one value of 60 bits; there the all-ones value is an escape, and the
 true value is the next of the block's escapes.  A document always begins at a new word.  A block is a row of a Parquet
@@ -11,6 +15,7 @@ Spark's own committer writes the files, so a task that is run again never leaves
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, sliced, worker_kept
+from .common import scratch, sliced, sums_before, worker_kept
 
 #: Ids and bits an id, by selector (fixed values of the coding).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -107,7 +112,7 @@ class _Words(dict):
 
     def forget(self) -> None:
         self.clear()
-        # slot 0: words with other white space, whose texts are encoded whole
+        # slot 0: words with other white space or an added token, whose texts are encoded whole
         self.start, self.size, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def slots(self, words: list[str]) -> np.ndarray:
@@ -127,8 +132,9 @@ class _Words(dict):
         n = len(self.start)
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
-            if len(" ".join(some).split()) != len(some):
-                strange = {w for w in some if w.split() != [w]}
+            joined = " ".join(some)
+            if len(joined.split()) != len(some) or e.has_added(joined):
+                strange = {w for w in some if w.split() != [w] or e.has_added(w)}
                 self.update(dict.fromkeys(strange, 0))
                 some = [w for w in some if w not in strange]
                 if not some:
@@ -154,14 +160,18 @@ class WordEncoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, with the ids of frequent words kept.
 
     Its pre-tokens never reach over a single space or line feed between two other characters, so a text without other
-    white space is the sequence of its words, each with the space before it; any other text is encoded as a whole.
+    white space is the sequence of its words, each with the space before it; any other text is encoded as a whole.  So is
+    a text that holds an added token of the vocabulary (<|endoftext|> and the like), which the library finds by itself.
     """
 
     def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
+        #: an added token with white space isn't seen in any word: then every text is encoded whole
+        self.only_whole = any(t.split() != [t] for t in added)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.line_feed = int(self.raw(["\n"])[0][0])
         self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 6)
@@ -175,6 +185,8 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of every text, and the end id.  Null texts are empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
+        if self.only_whole:
+            return [np.append(own, np.uint32(end)).astype("<u4") for own in self.raw(texts.to_pylist())]
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         bounds = np.asarray(lists.offsets, np.int64)
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
@@ -268,7 +280,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(BLOCK).parquet(path)
     docs = files.mapInArrow(decoded, "doc_id long, shard int, block int, in_shard long, n_tokens long, ids_crc32 long")
     # one row for a shard, that is for a file of many MB
-    before = files.groupBy("shard").agg(F.sum("n_ids").alias("ids")).select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
+    before = sums_before(files.groupBy("shard").agg(F.sum("n_ids").alias("ids")), [], "shard", "ids", "before").select("shard", "before")
     return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")
 
 

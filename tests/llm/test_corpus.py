@@ -41,14 +41,17 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+#: Texts with added tokens (one of them nearly), and with other white space than single ones.
+SPECIAL = ["<|endoftext|>", "x <|endoftext|> y", "x<|endoftext|>y z", "a\n<|endoftext|>\nb", "<|endoftext|> <|endoftext|>", "<|endoftext |>", "<|ENDOFTEXT|> a", "it's 12\n'll", "a  b", " a", "a\r\nb"]
+
+
 def test_encoder_equals_the_library():
     encoder, r = tf.WordEncoder(queries.tokenizer_path(), keep=30), random.Random(3)
     for _ in range(10):
-        texts = ["".join(r.choices(" \n\t'abcé1.! 　漢Ġ\x0b", k=r.randint(0, 14))) for _ in range(300)] + ["<|endoftext|>", "it's 12\n'll", "a  b", " a", "a\r\nb"]
+        texts = ["".join(r.choices(" \n\t'abcé1.! 　漢Ġ\x0b", k=r.randint(0, 14))) for _ in range(300)] + SPECIAL
         assert [x.tolist() for x in encoder(pa.array(texts), 0)] == library_ids(texts)
 
 
@@ -70,6 +73,13 @@ def test_token_files_odd(spark, odd, empty):
     assert tf.token_files(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    rows = [(i, t) for i, t in enumerate(SPECIAL)] + [(50, "plain words here")]
+    got = sorted(tf.token_files(frame(spark, rows), queries.tokenizer_path(), shards=2).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in library_ids([t for _, t in rows])]
+    assert library_ids(["x <|endoftext|> y"])[0] == [87, 220, 50256, 331, 0]
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 64, 65, 1000):
         p = sm.permuted(np.arange(n), n, 99)
