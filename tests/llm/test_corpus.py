@@ -86,10 +86,95 @@ def test_permutation():
         assert sorted(p) == list(range(n)) and (sm.permuted(p, n, 99, back=True) == np.arange(n)).all()
 
 
-def test_targets():
-    assert sm.targets([100, 100, 100], [5, 2, 1], 450, 2) == [200, 250 * 2 / 3, 250 / 3]
-    assert sm.targets([10, 1000], [5, 2], 1515, 2) == [20, 1495]
-    assert sm.targets([0, 0], [5, 2], 0, 2) == [0, 0]
+def targets_by_force(sizes, weights, total, repeat):
+    """Shares of total by weight; what is above `repeat` times a size is shared again until none is above."""
+    out, rest, free = [0.0] * len(sizes), total, list(range(len(sizes)))
+    while free:
+        unit = rest / sum(weights[i] for i in free)
+        full = [i for i in free if unit * weights[i] > repeat * sizes[i]]
+        if not full:
+            for i in free:
+                out[i] = unit * weights[i]
+            break
+        for i in full:
+            out[i] = float(repeat * sizes[i])
+            rest -= out[i]
+        free = [i for i in free if i not in full]
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(5)
+    for sizes in ([100, 100, 100], [10, 1000], [0, 0], [7], [r.choice([0, 3, 50, 4000]) * r.randrange(9) for _ in range(60)]):
+        names = [f"s{k:03}" for k in range(len(sizes))]
+        frame_ = spark.createDataFrame(list(zip(names, sizes, strict=True)), "skey string, size long")
+        got = sm.source_plan(frame_, sm.MixConfig()).orderBy("source").collect()
+        want = targets_by_force(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes), 2)
+        assert [x.skey for x in got] == names and [x.source for x in got] == list(range(len(sizes)))
+        assert [x.target for x in got] == pytest.approx(want)
+    assert sm.source_plan(frame_.limit(0), sm.MixConfig()).count() == 0
+
+
+def slots_by_force(plan, config):
+    """(shard, source, slot) and the block of every slot: a loop over shards, source by source."""
+    total = sum(p.slots for p in plan)
+    used, out = Counter(), {}
+    grouped = defaultdict(list)
+    for p in sorted(plan, key=lambda p: p.source):
+        if p.slots:
+            grouped[p.source // config.group].append(p)
+    names = sorted(grouped)
+    shares = np.array([sum(p.slots for p in grouped[g]) for g in names], float) / max(total, 1)
+    shards = -(-total // config.shard_slots)
+
+    def take(shard, p, n):
+        for _ in range(n):
+            j = used[p.source]
+            if j < p.slots:
+                epoch, within = divmod(j, p.blocks)
+                order = sm.permuted(np.arange(p.blocks), p.blocks, sm._key(config.seed, p.source, epoch))
+                out[p.source, j] = (shard, epoch, int(order[within]))
+            used[p.source] += 1
+
+    for shard in range(shards):
+        counts = np.random.default_rng([config.seed, shard]).multinomial(config.shard_slots, shares)
+        for g, n in zip(names, counts, strict=True):
+            if n:
+                own = np.array([p.slots for p in grouped[g]])
+                for p, m in zip(grouped[g], np.random.default_rng([config.seed, shard, g]).multinomial(n, own / own.sum()), strict=True):
+                    take(shard, p, int(m))
+    for p in plan:
+        take(shards, p, p.slots - min(p.slots, used[p.source]))
+    return out
+
+
+def test_slots_equal_a_loop(spark):
+    rows = [(i, " ".join(words(i, r_ := 3 + 29 * (i % 7))), f"s{i % 11}" if i % 13 else None) for i in range(150)]
+    assert r_
+    config = sm.MixConfig(block=9, shard_slots=7, group=3)
+    mixed = sm.mix(frame(spark, rows), config)
+    got = {(x.source, x.slot): (x.shard, x.epoch, x.block) for x in mixed.slots.collect()}
+    assert got == slots_by_force(mixed.plan.collect(), config)
+    # every block of a source at most once in an epoch, and each word of the mix where the block lies
+    assert len(set((k[0], v[1], v[2]) for k, v in got.items())) == len(got)
+    laid = {(x.source, x.start): x for x in mixed.laid.where("size > 0").collect()}
+    for x in mixed.parts.collect():
+        shard, epoch, block = got[x.source, x.slot]
+        assert (x.shard, x.epoch) == (shard, epoch) and laid[x.source, x.start].doc_id == x.doc_id
+        assert block * 9 <= x.start + x.word and x.start + x.word + x.taken <= block * 9 + 9 and x.word + x.taken <= x.size
+
+
+def test_more_sources_than_a_group(spark):
+    rows = [(i, " ".join(words(i % 50, 1 + i % 40)), f"host{i % 700:04}") for i in range(2000)]
+    config = sm.MixConfig(block=5, shard_slots=16, group=64)
+    report = sm.mix_report(sm.mix(frame(spark, rows), config)).collect()
+    source = {r[0]: r[2] for r in rows}
+    taken, goal = Counter(), {}
+    for r in report:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert len(goal) == 700 and all(abs(taken[k] - goal[k]) <= 1 for k in goal)
 
 
 def check_mix(rows, weights=(5, 2, 1)):
@@ -113,7 +198,7 @@ def test_mix(spark, sf):
     for d in docs:
         by[d.source] += len((d.text or "").encode().split())
     order = sorted(by, key=lambda s: s.encode())
-    goals = sm.targets([by[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(by.values()), 2)
+    goals = targets_by_force([by[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(by.values()), 2)
     source, target = {d.doc_id: d.source for d in docs}, dict(zip(order, goals, strict=True))
     assert all(r.source_size == by[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]]) for r in rows)
 
@@ -137,6 +222,34 @@ def test_mixed_documents(spark):
     assert mixed.columns == docs.columns and got == Counter({k: v for k, v in report.items() if v})
 
 
+def test_mixed_documents_odd(spark, odd, empty):
+    config = sm.MixConfig(block=7, shard_slots=5)
+    taken = sum(r.taken for r in sm.mix_report(sm.mix(odd, config)).collect())
+    mixed = sm.mixed_documents(odd, config)
+    assert mixed.columns == odd.columns and sum(len(r.text.split()) for r in mixed.collect()) == taken
+    assert sm.mixed_documents(empty).count() == 0
+
+
+CLASHES = ["size", "n", "spans", "epoch", "twin", "d", "t", "k", "row", "part", "tie", "text_id", "label", "rule", "start", "block", "a.b"]
+
+
+def clashing(docs):
+    """docs with columns of the names that operators use inside."""
+    return docs.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+
+
+def test_mixed_documents_clash(spark):
+    rows = [(i // 2, " ".join(words(i // 2, 5 + 37 * (i % 4))), "ab"[i % 2] if i % 5 else None) for i in range(40)] + [(3, "same text", "a"), (3, "same text", "b"), (3, "same text", "b")]
+    docs = frame(spark, rows)
+    config = sm.MixConfig(block=11, shard_slots=4)
+    plain = sorted((r.doc_id, r.text, r.source or "") for r in sm.mixed_documents(docs, config).collect())
+    mixed = sm.mixed_documents(clashing(docs), config)
+    assert mixed.columns == [*docs.columns, *CLASHES]
+    got = mixed.collect()
+    assert sorted((r.doc_id, r.text, r.source or "") for r in got) == plain
+    assert all(r[c] == f"own {c}" for r in got for c in CLASHES)
+
+
 def classes_by_force(texts):
     sets = {}
     for i, t in texts.items():
