@@ -1,5 +1,6 @@
 """Quality rules, classifier, license scan, token counts: brute force, round trips and odd inputs."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ from plenum.llm import quality_rules as qr
 from plenum.llm import queries
 from plenum.llm import token_counts as tc
 from plenum.llm.common import table
+from plenum.llm.license_texts import MIT
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,13 +89,28 @@ def test_classifier_odd(spark, odd, empty):
     assert qc.keep_quality(empty, model).count() == 0
 
 
+def lcs_by_force(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
 def test_patience():
     a = "x released under the mit license y".split()
     b = "released under the mit license".split()
     assert ls.patience(a, b) == [(i + 1, i) for i in range(5)]
     assert ls.increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
-    # no unique words: the gap falls back to a common subsequence
+    # no unique words: the gap falls back to a common subsequence, however large it is
     assert len(ls.patience("a a b b".split(), "a b a b".split())) == 3
+    assert len(ls.patience(["x", "y"] * 200, ["y", "z", "x"] * 100)) == lcs_by_force(["x", "y"] * 200, ["y", "z", "x"] * 100) == 200
+    for seed in range(20):
+        x, y = words(seed, 40, 5), words(seed + 50, 35, 5)
+        pairs = ls.common(x, y)
+        assert len(pairs) == lcs_by_force(x, y) and all(x[i] == y[j] for i, j in pairs) and pairs == sorted(pairs)
     for seed in range(20):
         x, y = words(seed, 30, 12), words(seed + 100, 25, 12)
         pairs = ls.patience(x, y)
@@ -107,7 +124,7 @@ def test_license_scan(spark, sf, odd, empty):
     assert got == {(d, name) for d, t in texts.items() for line, name in lines.items() if line in t}
     twice = "Released under the MIT License.\n" * 3 + "the the under under " * 50 + "Licensed under the Mozilla Public License, Version 2.0."
     rows = ls.license_scan(frame(spark, [(1, twice), (2, "release the license under mit"), (3, "MIT")])).collect()
-    assert [(r.doc_id, r.license, r.windows, r.coverage) for r in rows] == [(1, "MIT", 3, 1.0)]
+    assert [(r.doc_id, r.license, r.windows, r.coverage) for r in rows] == [(1, "MIT", 3, 1.0), (1, "MPL-2.0", 1, 1.0)]
     assert ls.license_scan(odd).count() == 0 and ls.license_scan(empty).count() == 0
 
 
@@ -144,3 +161,62 @@ def test_token_count_ties():
     for _ in range(500):
         t = "".join(r.choice("abcxy") for _ in range(r.randint(1, 14)))
         assert counter.tokens(t) == len(library.encode(t, add_special_tokens=False).ids), t
+
+
+def changed(text, r, share):
+    """text with a share of its words changed, dropped or doubled, at random."""
+    w = text.split()
+    for i in sorted(r.sample(range(len(w)), int(share * len(w))), reverse=True):
+        w[i : i + 1] = r.choice([[f"q{r.randrange(10**6)}"], [], [w[i], f"q{r.randrange(10**6)}"]])
+    return " ".join(w)
+
+
+def test_license_recall_on_changed_notices(spark):
+    """Notices of 20 words or more with one word changed, and with up to 15 % changed, in other text."""
+    r, rows, wanted = random.Random(6), [], {}
+    long = [t for t in ls.TEMPLATES if len(t.text.split()) >= 20]
+    for t in long:
+        edits = [changed(t.text, r, share) for share in (0.05, 0.1, 0.15) for _ in range(6)]
+        edits += [" ".join(w[:i] + ["Leave"] + w[i + 1 :]) for w in [t.text.split()] for i in range(0, len(w), 7)]
+        for text in edits:
+            wanted[len(rows)] = t.name
+            rows.append((len(rows), " ".join([*words(len(rows), 60), text, *words(len(rows) + 1, 60)])))
+    got = {}
+    for x in ls.license_scan(frame(spark, rows)).collect():
+        got.setdefault(x.doc_id, set()).add(x.license)
+    family = lambda name: re.split(r"-\d", name)[0]  # noqa: E731  whether any notice of the license's family is found
+    assert np.mean([any(family(n) == family(name) for n in got.get(k, ())) for k, name in wanted.items()]) >= 0.98
+    assert np.mean([name in got.get(k, ()) for k, name in wanted.items()]) >= 0.9
+    mit = next(t.text for t in ls.TEMPLATES if t.text == MIT)
+    one = ls.license_scan(frame(spark, [(1, mit.replace("Permission", "Leave", 1)), (2, "Released under the MIT Licence."), (3, mit.replace("sublicense", "sub- license"))])).collect()
+    assert {(x.doc_id, x.license) for x in one} == {(1, "MIT"), (2, "MIT"), (3, "MIT")}
+
+
+def test_license_families(spark):
+    """Each notice, as it is, gives its own license and nothing else of the same words."""
+    rows = [(k, t.text) for k, t in enumerate(ls.TEMPLATES)]
+    got = {}
+    for x in ls.license_scan(frame(spark, rows)).collect():
+        got.setdefault(x.doc_id, []).append((x.license, x.coverage))
+    assert got == {k: [(t.name, 1.0)] for k, t in enumerate(ls.TEMPLATES)}
+
+
+def test_license_windows_equal_brute_force():
+    """What any window that reaches the threshold finds, by aligning every window of every text."""
+    templates = (ls.Template("A", " ".join(words(1, 12, 40))), ls.Template("B", " ".join(words(2, 9, 40))), ls.Template("C", " ".join(words(3, 7, 40)), (words(3, 7, 40)[2],)))
+    scanner, r = ls.Scanner(ls.LicenseConfig(templates)), random.Random(8)
+    for seed in range(60):
+        text = words(seed + 10, 50, 40)
+        for t in templates:
+            if r.random() < 0.6:
+                at = r.randrange(len(text))
+                text[at:at] = changed(t.text, r, r.choice([0, 0.1, 0.2, 0.3])).split()
+        codes = np.array([scanner.vocab.get(w, -1) for w in text])
+        for k, t in enumerate(scanner.templates):
+            reach = any(
+                len(p) >= t.need and t.must <= {t.words[j] for _, j in p}
+                for lo in range(len(codes)) for p in [ls.patience(codes[lo : lo + len(t.words) + t.slack].tolist(), t.words)]
+            )
+            if reach:
+                assert scanner.align(codes, k)
+    assert lcs_by_force("ab", "ba") == 1
