@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,57 @@ def disk_ring(x: float, y: float, radius: float, quarter: int) -> list[P]:
     return [(x + radius * math.cos(2 * math.pi * k / n), y + radius * math.sin(2 * math.pi * k / n)) for k in range(n)]
 
 
-def corridor_ring(ax: float, ay: float, bx: float, by: float, radius: float, quarter: int) -> list[P]:
-    """All points within a distance of a segment, its round ends as polygons."""
-    turn = math.atan2(by - ay, bx - ax)
-    out = []
-    for (x, y), start in (((bx, by), turn - math.pi / 2), ((ax, ay), turn + math.pi / 2)):
-        out += [(x + radius * math.cos(start + math.pi * k / (2 * quarter)), y + radius * math.sin(start + math.pi * k / (2 * quarter))) for k in range(2 * quarter + 1)]
-    return out
+def convex_in_boxes(x: np.ndarray, y: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Areas that convex polygons share with boxes, row by row.
+
+    x, y: corners, counterclockwise, the last repeated where a polygon has fewer; box: rows of x, y, width, depth, yaw.
+    An area is a sum over the parts of each outline inside the other.
+    """
+    cos, sin = np.cos(box[4]), np.sin(box[4])
+    dx, dy = x - box[0][:, None], y - box[1][:, None]
+    px, py = dx * cos[:, None] + dy * sin[:, None], dy * cos[:, None] - dx * sin[:, None]
+    qx, qy = np.roll(px, -1, axis=1), np.roll(py, -1, axis=1)
+    half = box[2] / 2, box[3] / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # sides of the polygon inside the box
+        low, high = np.zeros(px.shape), np.ones(px.shape)
+        for p, d, h in ((px, qx - px, half[0][:, None]), (py, qy - py, half[1][:, None])):
+            flat, u, v = np.abs(d) < 1e-12, (-h - p) / d, (h - p) / d
+            out = np.abs(p) > h + 1e-12
+            low = np.maximum(low, np.where(flat, np.where(out, 2.0, 0.0), np.minimum(u, v)))
+            high = np.minimum(high, np.where(flat, np.where(out, -1.0, 1.0), np.maximum(u, v)))
+        ux, uy, vx, vy = px + low * (qx - px), py + low * (qy - py), px + high * (qx - px), py + high * (qy - py)
+        total = np.where(low < high, ux * vy - uy * vx, 0.0).sum(axis=1)
+        # sides of the box inside the polygon
+        corners = [(-half[0], -half[1]), (half[0], -half[1]), half, (-half[0], half[1])]
+        ex, ey = qx - px, qy - py
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+            at = ex * (ay[:, None] - py) - ey * (ax[:, None] - px)
+            step = ex * (by - ay)[:, None] - ey * (bx - ax)[:, None]
+            t = -at / step
+            flat = np.abs(step) < 1e-15
+            low = np.maximum(0.0, np.where(flat, np.where(at < -1e-12, 2.0, 0.0), np.where(step > 0, t, 0.0)).max(axis=1))
+            high = np.minimum(1.0, np.where(~flat & (step < 0), t, 1.0).min(axis=1))
+            ux, uy, vx, vy = ax + low * (bx - ax), ay + low * (by - ay), ax + high * (bx - ax), ay + high * (by - ay)
+            total += np.where(low < high, ux * vy - uy * vx, 0.0)
+    return np.maximum(total / 2, 0.0)
+
+
+def is_convex(ring: list[P]) -> bool:
+    return all((bx - ax) * (cy - by) - (by - ay) * (cx - bx) >= -1e-12 for (ax, ay), (bx, by), (cx, cy) in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2], strict=True))
+
+
+def corridors_of(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, radius: float, quarter: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of all points within a distance of each segment, the round ends as polygons."""
+    turn = np.arctan2(by - ay, bx - ax)[:, None]
+    k = np.arange(2 * quarter + 1) * math.pi / (2 * quarter)
+    x = np.concatenate([bx[:, None] + radius * np.cos(turn - math.pi / 2 + k), ax[:, None] + radius * np.cos(turn + math.pi / 2 + k)], axis=1)
+    y = np.concatenate([by[:, None] + radius * np.sin(turn - math.pi / 2 + k), ay[:, None] + radius * np.sin(turn + math.pi / 2 + k)], axis=1)
+    return x, y
+
+
+def _columns(batch: pa.RecordBatch, names) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(c), np.float64) for c in names])
 
 
 def ring_of(points: list[dict]) -> list[P]:
@@ -85,20 +130,30 @@ def disk_shares(rooms: DataFrame, furniture: DataFrame, config: SceneConfig = Sc
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disks: dict = {}
-        for batch in batches:
-            disk_areas, areas = [], []
-            for r in batch.to_pylist():
-                ring = ring_of(r["ring"])
-                key = (r["cx"], r["cy"], *ring)
-                if key not in disks:
-                    if len(disks) > 1000:
-                        disks.clear()
-                    inside = clip(ring, disk_ring(r["cx"], r["cy"], config.center_radius, config.arc_segments))
-                    disks[key] = inside, area(inside)
-                inside, whole = disks[key]
-                disk_areas.append(whole)
-                areas.append(abs(area(clip(inside, box_ring(*(r[c] for c in ("x", "y", "width", "depth", "yaw")))))) if r["id"] is not None and inside else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), pa.array(disk_areas, pa.float64()), pa.array(areas, pa.float64())], names=["room", "id", "ord", "disk", "area"])
+        for big in batches:
+            for batch in (big.slice(at, 4000) for at in range(0, big.num_rows, 4000)):
+                own = []
+                for points, cx, cy in zip(*(batch.column(c).to_pylist() for c in ("ring", "cx", "cy")), strict=True):
+                    ring = ring_of(points)
+                    key = (cx, cy, *ring)
+                    if key not in disks:
+                        if len(disks) > 1000:
+                            disks.clear()
+                        inside = clip(ring, disk_ring(cx, cy, config.center_radius, config.arc_segments))
+                        disks[key] = inside, area(inside), is_convex(inside)
+                    own.append(disks[key])
+                boxes = _columns(batch, ("x", "y", "width", "depth", "yaw"))
+                areas = np.zeros(batch.num_rows)
+                held = ~np.isnan(boxes).any(axis=0)
+                even = np.array([k for k, (inside, _, convex) in enumerate(own) if inside and convex and held[k]], np.int64)
+                if len(even):
+                    most = max(len(own[k][0]) for k in even)
+                    corners = np.array([own[k][0] + own[k][0][-1:] * (most - len(own[k][0])) for k in even])
+                    areas[even] = convex_in_boxes(corners[:, :, 0], corners[:, :, 1], boxes[:, even])
+                for k, (inside, _, convex) in enumerate(own):
+                    if inside and not convex and held[k]:
+                        areas[k] = abs(area(clip(inside, box_ring(*boxes[:, k].tolist()))))
+                yield pa.RecordBatch.from_arrays([batch.column("room"), batch.column("id"), batch.column("ord"), pa.array([whole for _, whole, _ in own], pa.float64()), pa.array(areas)], names=["room", "id", "ord", "disk", "area"])
 
     return rows.mapInArrow(shares, "room long, id string, ord int, disk double, area double")
 
@@ -114,12 +169,11 @@ def path_blocking(pairs: DataFrame, furniture: DataFrame, config: SceneConfig =
     rows = keys.join(others, "room").where((F.col("o_ord") != F.col("s_ord")) & (F.col("o_ord") != F.col("t_ord")) & (g.Box.of("o_").distance_to_segment(a, b) < config.corridor_radius))
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            areas = []
-            for r in batch.to_pylist():
-                box = box_ring(*(r[f"o_{c}"] for c in ("x", "y", "width", "depth", "yaw")))
-                areas.append(abs(area(clip(corridor_ring(r["s_x"], r["s_y"], r["t_x"], r["t_y"], config.corridor_radius, config.arc_segments), box))))
-            yield pa.RecordBatch.from_arrays([batch.column("room"), batch.column("s_ord"), batch.column("t_ord"), pa.array(areas, pa.float64())], names=["room", "s_ord", "t_ord", "area"])
+        for big in batches:
+            for batch in (big.slice(at, 4000) for at in range(0, big.num_rows, 4000)):
+                x, y = corridors_of(*_columns(batch, ("s_x", "s_y", "t_x", "t_y")), config.corridor_radius, config.arc_segments)
+                areas = convex_in_boxes(x, y, _columns(batch, ("o_x", "o_y", "o_width", "o_depth", "o_yaw")))
+                yield pa.RecordBatch.from_arrays([batch.column("room"), batch.column("s_ord"), batch.column("t_ord"), pa.array(areas)], names=["room", "s_ord", "t_ord", "area"])
 
     areas = rows.mapInArrow(covered, "room long, s_ord int, t_ord int, area double")
     return areas.groupBy("room", "s_ord", "t_ord").agg(F.max("area").alias("path_blocking_score"))

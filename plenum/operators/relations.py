@@ -137,21 +137,28 @@ def overlap_edges(rows: DataFrame, config: SceneConfig = SceneConfig()) -> DataF
     return _edges(rows, "s_id", "t_id", _edge("overlaps", F.col("overlap_m2") > config.overlap_area, overlap_m2=F.col("overlap_m2")))
 
 
-def wall_pairs(furniture: DataFrame, walls: DataFrame) -> DataFrame:
-    """Pieces that may have a wall edge with all walls of the room: clearance, yaw difference, back clearance and coverage."""
+def wall_pairs(furniture: DataFrame, walls: DataFrame, config: SceneConfig = SceneConfig()) -> DataFrame:
+    """Pieces that may have a wall edge with the walls near enough for one: clearance, yaw difference, back clearance and coverage.
+
+    A wall is too far if a circle around the piece is.  Coverage is null where the back is too far for a backing.
+    """
     rows = furniture.where(~soft(F.col("label")) | is_in(F.col("label"), vocab.SOFT_ON_WALLS))
     joined = rows.join(side(walls, "w_", ("id", "ax", "ay", "bx", "by", "ord")), "room")
     box, a, b = g.Box.of(), (F.col("w_ax"), F.col("w_ay")), (F.col("w_bx"), F.col("w_by"))
+    reach = max(config.touching, config.against * 2, config.backing_clearance) + 1e-6
+    columns = joined.columns
+    near = joined.where(g.point_segment((box.x, box.y), a, b) <= g.hypot(box.width, box.depth) / 2 + reach)
+    near = near.withColumn("clearance_m", box.distance_to_segment(a, b)).withColumn("back_m", g.segment_segment(box.back[0], box.back[1], a, b))
+    near = g.settled(near)
     back = box.back
-    share = [k / 8 for k in range(9)]
-    points = [(back[0][0] + (back[1][0] - back[0][0]) * s, back[0][1] + (back[1][1] - back[0][1]) * s) for s in share]
-    hits = sum((F.when(g.point_segment(p, a, b) <= SceneConfig.backing_sample_distance, 1.0).otherwise(0.0) for p in points), F.lit(0.0))
-    return joined.select(
-        *joined.columns,
-        box.distance_to_segment(a, b).alias("clearance_m"),
+    points = [(back[0][0] + (back[1][0] - back[0][0]) * s, back[0][1] + (back[1][1] - back[0][1]) * s) for s in (k / 8 for k in range(9))]
+    hits = sum((F.when(g.point_segment(p, a, b) <= config.backing_sample_distance, 1.0).otherwise(0.0) for p in points), F.lit(0.0))
+    return near.select(
+        *columns,
+        "clearance_m",
         g.yaw_difference(box.yaw, F.atan2(b[1] - a[1], b[0] - a[0])).alias("yaw_diff_deg"),
-        g.segment_segment(back[0], back[1], a, b).alias("back_m"),
-        F.when(box.width <= 0, 0.0).otherwise(hits / 9).alias("coverage"),
+        "back_m",
+        F.when(F.col("back_m") <= config.backing_clearance, F.when(box.width <= 0, 0.0).otherwise(hits / 9)).alias("coverage"),
     )
 
 

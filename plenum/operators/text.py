@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.arrays import let, sums_before
 from ..functions.geometry import settled
 
 
@@ -39,7 +40,7 @@ def normalized(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts after . ! ? and white space, without a sentence that equals the one before it but for case."""
     parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.filter(parts, lambda s, i: (i == 0) | (F.lower(s) != F.lower(F.get(parts, i - 1))))
+    return let(parts, lambda p: F.filter(p, lambda s, i: (i == 0) | (F.lower(s) != F.lower(F.get(p, i - 1)))))
 
 
 def word_tokens(text: Column) -> Column:
@@ -75,15 +76,14 @@ def first_of_equal(records: DataFrame, seq: str = "seq") -> DataFrame:
 
 def spans(text: Column, phrase: str) -> Column:
     """Starts of all occurrences that don't overlap: lengths of what lies between them, summed."""
-    parts = F.split(text, "\\Q" + phrase + "\\E", -1)
-    lengths = F.transform(parts, lambda p: F.char_length(p))
-    n, size = F.size(parts), len(phrase)
-    at = F.aggregate(
-        F.slice(lengths, 1, n - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, v: F.struct((a["at"] + v + size).cast("int").alias("at"), F.concat(a["out"], F.array((a["at"] + v).cast("int"))).alias("out")),
-    )["out"]
-    return F.when(F.contains(text, F.lit(phrase)), at).otherwise(F.array().cast("array<int>"))
+    lengths = F.transform(F.split(text, "\\Q" + phrase + "\\E", -1), lambda p: F.char_length(p))
+    size = len(phrase)
+
+    def starts(n: Column) -> Column:
+        steps = F.transform(F.slice(n, 1, F.size(n) - 1), lambda v: v + size)
+        return F.transform(F.arrays_zip(sums_before(steps).alias("before"), steps.alias("step")), lambda x: (x["before"] + x["step"] - size).cast("int"))
+
+    return F.when(F.contains(text, F.lit(phrase)), let(lengths, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def _first_word(window: Column, words: tuple[str, ...]) -> Column:

@@ -52,6 +52,16 @@ def walls(rooms: DataFrame) -> DataFrame:
     return rooms.select("room", F.explode(rows).alias("w")).select("room", "w.*", F.lit(WALL_HEIGHT).alias("height"), F.lit(WALL_THICKNESS).alias("thickness"))
 
 
+def drawn_walls(rooms: DataFrame) -> DataFrame:
+    """Walls that differ from room to room, by the room's number modulo 4: closed, closed and split in two, a corner, one wall."""
+    w, d, kind = F.lit(4.0) + F.col("room") % 7 * 0.5, F.lit(3.0) + F.col("room") % 5 * 0.5, F.col("room") % 4
+    zero, split = F.lit(0.0), w * 0.4
+    ends = ((zero, zero, w, zero), (w, zero, w, d), (w, d, zero, d), (zero, d, zero, zero), (split, zero, split, d))
+    rows = [F.struct(F.lit(k).alias("ord"), F.lit(f"wall_{k}").alias("id"), *(v.cast("double").alias(c) for v, c in zip(e, ("ax", "ay", "bx", "by"), strict=True))) for k, e in enumerate(ends)]
+    own = F.slice(F.array(*rows), F.lit(1), F.when(kind == 0, 4).when(kind == 1, 5).when(kind == 2, 2).otherwise(1))
+    return rooms.select("room", F.explode(own).alias("w")).select("room", "w.*", F.lit(WALL_HEIGHT).alias("height"), F.lit(WALL_THICKNESS).alias("thickness"))
+
+
 def fixtures(rooms: DataFrame) -> DataFrame:
     """room, ord, id, kind, wall_id and the box of doors and windows."""
     room = F.col("room")

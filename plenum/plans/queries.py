@@ -17,10 +17,10 @@ from ..operators import rules as ru
 from ..operators import scoring as sc
 from ..operators import text as tx
 from ..operators import zones as zo
-from ..operators.paths import walks
+from ..operators.paths import STEPS, corridors, nearest_cells, walks
 from ..sources import layout as ly
 from . import sql as q
-from .derived import Scene, table, transcripts
+from .derived import Scene, drawn_walls, room_ids, table, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,6 +303,16 @@ RULE_SQL = {
     "light_window_proximity": f"""a AS (SELECT room, zone_id, anchor_id FROM sz UNION ALL SELECT room, zone_id, anchor_id FROM bz), f AS (SELECT a.room, a.anchor_id, a.zone_id, min({q.hyp('e.x - w.x', 'e.y - w.y')}) AS d FROM a JOIN ent e ON a.room = e.room AND a.anchor_id = e.id JOIN fix w ON w.room = a.room AND w.kind = 'window' GROUP BY a.room, a.anchor_id, a.zone_id)
       SELECT room, anchor_id AS target, CASE WHEN d <= 3 THEN 'good' WHEN d <= 4.5 THEN 'weak' ELSE 'violated' END AS status, CASE WHEN d <= 3 THEN 1.0 WHEN d <= 4.5 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM f""",
 }
+RULE_SQL["clear_center"] = f"""disk AS (SELECT k, cos(k * pi() / 32) AS ax, sin(k * pi() / 32) AS ay, cos((k + 1) * pi() / 32) AS bx, sin((k + 1) * pi() / 32) AS by_ FROM range(64) AS i(k)),
+      hard AS (SELECT room, ord, x - 3.0 AS x, y - 2.0 AS y, width, depth, yaw FROM ent WHERE label NOT IN {q.names(vocab.SOFT)} AND {q.hyp('x - 3.0', 'y - 2.0')} <= 1.0 + {q.hyp('width', 'depth')} / 2),
+      arc AS (SELECT room, {q.clip('b', 'd.ax', 'd.ay', 'd.bx', 'd.by_')[0]} AS f, {q.clip('b', 'd.ax', 'd.ay', 'd.bx', 'd.by_')[1]} AS l, ax, ay, bx, by_ FROM hard b CROSS JOIN disk d),
+      side AS (SELECT room, ord, {', '.join(f"[{', '.join(q.corner('b', (k + e) % 4)[c] for k in range(4))}][j + 1] AS {n}" for e, c, n in ((0, 0, 'px'), (0, 1, 'py'), (1, 0, 'qx'), (1, 1, 'qy')))}, j FROM hard b CROSS JOIN range(4) AS i(j)),
+      half AS (SELECT s.*, (d.bx - d.ax) * (s.py - d.ay) - (d.by_ - d.ay) * (s.px - d.ax) AS off_, (d.bx - d.ax) * (s.qy - s.py) - (d.by_ - d.ay) * (s.qx - s.px) AS step FROM side s CROSS JOIN disk d),
+      cutside AS (SELECT room, ord, j, any_value(px) AS px, any_value(py) AS py, any_value(qx) AS qx, any_value(qy) AS qy, greatest(0.0, max(CASE WHEN step > 0 THEN -off_ / step WHEN step = 0 AND off_ < 0 THEN 2.0 ELSE 0.0 END)) AS f, least(1.0, min(CASE WHEN step < 0 THEN -off_ / step ELSE 1.0 END)) AS l FROM half GROUP BY room, ord, j),
+      bit AS (SELECT room, ((ax + f * (bx - ax)) * (ay + l * (by_ - ay)) - (ay + f * (by_ - ay)) * (ax + l * (bx - ax))) / 2 AS a FROM arc WHERE f < l
+        UNION ALL SELECT room, ((px + f * (qx - px)) * (py + l * (qy - py)) - (py + f * (qy - py)) * (px + l * (qx - px))) / 2 FROM cutside WHERE f < l),
+      f AS (SELECT room.room, coalesce(sum(a), 0.0) / (32 * sin(pi() / 32)) AS occ FROM room LEFT JOIN bit USING (room) GROUP BY room.room)
+      SELECT room, 'room_0' AS target, CASE WHEN occ >= 0.25 THEN 'violated' WHEN occ > 0.125 THEN 'weak' ELSE 'good' END AS status, {q.r('greatest(0.0, 1.0 - occ)', 'score')} FROM f"""
 RULE_BASE = f"{_W}{q.SCENE}, {SEAT}, {BED}, {DESK}, {DOOR}, {WALL_PAIR}, {WALL_EDGE}, {ANCHORS}"
 
 
@@ -363,23 +373,124 @@ def teacher_cells(spark, sf_dir):
 # --- functions that SQL has no form for, whole tables
 
 
-@query("d6_path_blocking")
+# corners of the corridor around a segment from p to q, 33 at each round end, in a frame that begins at p and runs along x
+CORRIDOR = f"""bend AS (SELECT k, CASE WHEN k < 33 THEN 1 ELSE 0 END AS far, 0.3 * cos(CASE WHEN k < 33 THEN (k - 16) * pi() / 32 ELSE (k - 33 + 16) * pi() / 32 END) AS x, 0.3 * sin(CASE WHEN k < 33 THEN (k - 16) * pi() / 32 ELSE (k - 33 + 16) * pi() / 32 END) AS y FROM range(66) AS i(k)),
+rim AS (SELECT a.k, a.far AS afar, a.x AS ax, a.y AS ay, b.far AS bfar, b.x AS bx, b.y AS by_ FROM bend a JOIN bend b ON b.k = (a.k + 1) % 66),
+lane AS (SELECT s.room, s.ord AS s_ord, t.ord AS t_ord, o.ord AS o_ord, {q.hyp('t.x - s.x', 't.y - s.y')} AS len, o.width, o.depth,
+    ((o.x - s.x) * (t.x - s.x) + (o.y - s.y) * (t.y - s.y)) / {q.hyp('t.x - s.x', 't.y - s.y')} AS x, ((o.y - s.y) * (t.x - s.x) - (o.x - s.x) * (t.y - s.y)) / {q.hyp('t.x - s.x', 't.y - s.y')} AS y, o.yaw - atan2(t.y - s.y, t.x - s.x) AS yaw
+  FROM ent s JOIN ent t ON s.room = t.room AND s.ord <> t.ord AND (s.x <> t.x OR s.y <> t.y) JOIN ent o ON o.room = s.room AND o.ord <> s.ord AND o.ord <> t.ord AND o.label NOT IN {q.names(vocab.SOFT)}
+  WHERE {q.seg_box('o', 's.x', 's.y', 't.x', 't.y')} < 0.30),
+edge_ AS (SELECT b.*, r.ax + r.afar * len AS ax, r.ay, r.bx + r.bfar * len AS bx, r.by_ FROM lane b CROSS JOIN rim r),
+arc AS (SELECT room, s_ord, t_ord, o_ord, {q.clip('b', 'b.ax', 'b.ay', 'b.bx', 'b.by_')[0]} AS f, {q.clip('b', 'b.ax', 'b.ay', 'b.bx', 'b.by_')[1]} AS l, ax, ay, bx, by_ FROM edge_ b),
+side AS (SELECT b.*, {', '.join(f"[{', '.join(q.corner('b', (k + e) % 4)[c] for k in range(4))}][j + 1] AS {n}" for e, c, n in ((0, 0, 'px'), (0, 1, 'py'), (1, 0, 'qx'), (1, 1, 'qy')))}, j FROM lane b CROSS JOIN range(4) AS i(j)),
+half AS (SELECT s.*, (r.bx + r.bfar * len - r.ax - r.afar * len) * (s.py - r.ay) - (r.by_ - r.ay) * (s.px - r.ax - r.afar * len) AS off_, (r.bx + r.bfar * len - r.ax - r.afar * len) * (s.qy - s.py) - (r.by_ - r.ay) * (s.qx - s.px) AS step FROM side s CROSS JOIN rim r),
+cutside AS (SELECT room, s_ord, t_ord, o_ord, j, any_value(px) AS px, any_value(py) AS py, any_value(qx) AS qx, any_value(qy) AS qy, greatest(0.0, max(CASE WHEN step > 0 THEN -off_ / step WHEN step = 0 AND off_ < 0 THEN 2.0 ELSE 0.0 END)) AS f, least(1.0, min(CASE WHEN step < 0 THEN -off_ / step ELSE 1.0 END)) AS l FROM half GROUP BY room, s_ord, t_ord, o_ord, j),
+bit AS (SELECT room, s_ord, t_ord, o_ord, ((ax + f * (bx - ax)) * (ay + l * (by_ - ay)) - (ay + f * (by_ - ay)) * (ax + l * (bx - ax))) / 2 AS a FROM arc WHERE f < l
+  UNION ALL SELECT room, s_ord, t_ord, o_ord, ((px + f * (qx - px)) * (py + l * (qy - py)) - (py + f * (qy - py)) * (px + l * (qx - px))) / 2 FROM cutside WHERE f < l),
+cover AS (SELECT room, s_ord, t_ord, o_ord, sum(a) AS a FROM bit GROUP BY room, s_ord, t_ord, o_ord),
+blocked AS (SELECT l.room, l.s_ord, l.t_ord, max(coalesce(c.a, 0.0)) AS score FROM lane l LEFT JOIN cover c USING (room, s_ord, t_ord, o_ord) GROUP BY l.room, l.s_ord, l.t_ord)"""
+
+
+@query("d6_path_blocking", f"WITH {q.ENT}, {CORRIDOR} SELECT room, s_ord, t_ord, round(greatest(score, 0.0), 5) + 0.0 AS path_blocking_score FROM blocked")
 def path_blocking(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return pg.path_blocking(rel.pairs(s.furniture), s.furniture).select("room", "s_ord", "t_ord", r("path_blocking_score"))
+    score = (F.round("path_blocking_score", 5) + 0.0).alias("path_blocking_score")
+    return pg.path_blocking(rel.pairs(s.furniture), s.furniture).select("room", F.col("s_ord").cast("long").alias("s_ord"), F.col("t_ord").cast("long").alias("t_ord"), score)
+
+
+#: Walks on a grid of 12 x 8 cells, which SQL can search; the grid of production is 120 x 80.
+COARSE = SceneConfig(grid_cell=0.5)
+_u, _v = q.local("b", "cell.x", "cell.y")
+GRID = f"""blk AS (SELECT * FROM ent WHERE label NOT IN {q.names(vocab.SOFT)} AND height >= 0.2),
+cell AS (SELECT room, r, c, (c + 0.5) * 0.5 AS x, (r + 0.5) * 0.5 AS y FROM room CROSS JOIN range(8) AS i(r) CROSS JOIN range(12) AS j(c)),
+shut AS (SELECT DISTINCT cell.room, r, c FROM cell JOIN blk b ON cell.room = b.room WHERE abs({_u}) <= b.width / 2 + 1e-12 AND abs({_v}) <= b.depth / 2 + 1e-12),
+free AS MATERIALIZED (SELECT * FROM cell ANTI JOIN shut USING (room, r, c)),
+hw AS MATERIALIZED (SELECT f.room, f.r, f.c, f.x, f.y, least(3, f.r + 1, f.c + 1, 8 - f.r, 12 - f.c, coalesce(min(greatest(abs(f.r - s.r), abs(f.c - s.c))), 3)) AS w FROM free f LEFT JOIN shut s ON f.room = s.room GROUP BY f.room, f.r, f.c, f.x, f.y)"""
+TARGETS = f"""goal AS (SELECT z.room, z.zone_id AS id, e.x, e.y, false AS is_door FROM (SELECT room, zone_id, anchor_id FROM sz UNION ALL SELECT room, zone_id, anchor_id FROM bz UNION ALL SELECT room, 'desk_group_' || zone, anchor_id FROM dz) z JOIN ent e ON z.room = e.room AND z.anchor_id = e.id),
+spot AS (SELECT room, id, x, y, true AS is_door FROM entry WHERE is_entry UNION ALL SELECT * FROM goal),
+used AS (SELECT * FROM spot WHERE room IN (SELECT room FROM goal)),
+near AS MATERIALIZED (SELECT room, id, is_door, r, c FROM (SELECT u.room, u.id, u.is_door, f.r, f.c, row_number() OVER (PARTITION BY u.room, u.id ORDER BY (f.r - least(7, trunc(u.y / 0.5))) ** 2 + (f.c - least(11, trunc(u.x / 0.5))) ** 2, f.r, f.c) AS n FROM used u JOIN free f ON u.room = f.room) WHERE n = 1)"""
+STEP = "step AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {dr}, {dc}, {int(not (dr and dc))}, {int(bool(dr and dc))})" for k, (dr, dc, _) in enumerate(STEPS)) + ") AS s(k, dr, dc, da, db))"
+# a straight and b diagonal steps from the door, each cell once; cells whose way got shorter are looked at again
+WAYS = f"""{STEP},
+way(room, door, r, c, a, b) USING KEY (room, door, r, c) AS (
+  SELECT room, id, r, c, 0, 0 FROM near WHERE is_door
+  UNION
+  SELECT room, door, r, c, n.a, n.b FROM (
+    SELECT w.room, w.door, f.r, f.c, min(struct_pack(d := w.a + s.da + (w.b + s.db) * sqrt(2), a := w.a + s.da, b := w.b + s.db)) AS n
+    FROM way w CROSS JOIN step s JOIN free f ON f.room = w.room AND f.r = w.r + s.dr AND f.c = w.c + s.dc GROUP BY ALL) t
+  LEFT JOIN recurring.way o USING (room, door, r, c) WHERE o.a IS NULL OR t.n.d < o.a + o.b * sqrt(2)),
+reached AS MATERIALIZED (SELECT w.*, z.id AS zone_id FROM way w JOIN near z ON w.room = z.room AND w.r = z.r AND w.c = z.c AND NOT z.is_door)"""
+TRACKS = f"""back AS MATERIALIZED (SELECT w.room, w.door, w.r, w.c, arg_min(struct_pack(r := p.r, c := p.c), s.k) AS p FROM way w CROSS JOIN step s JOIN way p ON p.room = w.room AND p.door = w.door AND p.r = w.r + s.dr AND p.c = w.c + s.dc AND p.a + s.da = w.a AND p.b + s.db = w.b GROUP BY w.room, w.door, w.r, w.c),
+track AS (SELECT room, door, zone_id, r, c, a + b AS n FROM reached UNION ALL SELECT t.room, t.door, t.zone_id, b.p.r, b.p.c, t.n - 1 FROM track t JOIN back b ON b.room = t.room AND b.door = t.door AND b.r = t.r AND b.c = t.c),
+tight AS (SELECT t.*, h.x, h.y FROM track t JOIN hw h ON t.room = h.room AND t.r = h.r AND t.c = h.c WHERE h.w * 0.5 < 0.60),
+block AS (SELECT t.room, t.door, t.zone_id, b.id, arg_min({q.point_box('b', 't.x', 't.y')}, t.n) AS d FROM tight t JOIN blk b ON t.room = b.room WHERE {q.point_box('b', 't.x', 't.y')} <= 0.8 GROUP BY t.room, t.door, t.zone_id, b.id)"""
+_WALK_BASE = f"{_W}{q.SCENE}, {SEAT}, {BED}, {DESK}, {DOOR}, {GRID}, {TARGETS}"
+_TRAFFIC = f"SELECT room, door AS src, zone_id AS dst, 'traffic_path' AS type, {q.r('(a + b * sqrt(2)) * 0.5', 'length_m')}, a + b + 1 AS cells, NULL::VARCHAR AS from_door, NULL::DOUBLE AS distance_m FROM reached"
+_BLOCKED = f"SELECT room, id AS src, zone_id AS dst, 'blocks_path' AS type, NULL::DOUBLE AS length_m, NULL AS cells, door AS from_door, {q.r('d', 'distance_m')} FROM block"
+
+
+def _walks(spark, sf_dir, config: SceneConfig) -> DataFrame:
+    s = Scene(spark, sf_dir)
+    t = tables(s)
+    return walks(s.rooms, s.furniture, t.doors.where("is_entry"), t.zones, config).select("room", "src", "dst", "type", r("length_m"), "cells", "from_door", r("distance_m"))
 
 
-@query("k4_walks")
-def traffic(spark, sf_dir):
+@query("c9_walkable_cells", f"WITH {q.SCENE}, {GRID} SELECT room, r AS row, c AS col FROM free")
+def walkable_cells(spark, sf_dir):
+    s = Scene(spark, sf_dir)
+    return corridors(s.rooms, s.furniture, COARSE).select("room", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+
+@query("k1_nearest_cells", f"{_WALK_BASE} SELECT room, id, r AS row, c AS col FROM near")
+def nearest_walkable(spark, sf_dir):
+    """The walkable cells nearest to entry doors and zones."""
     s = Scene(spark, sf_dir)
     t = tables(s)
-    return walks(s.rooms, s.furniture, t.doors.where("is_entry"), t.zones).select("room", "src", "dst", "type", r("length_m"), "cells", "from_door", r("distance_m"))
+    return nearest_cells(s.rooms, s.furniture, t.doors.where("is_entry"), t.zones, COARSE).select("room", "id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
-@query("c1_room_polygons", f"WITH {q.ROOM} SELECT room, 24.0::DOUBLE AS area, 3.0::DOUBLE AS cx, 2.0::DOUBLE AS cy, 5::BIGINT AS points FROM room")
-def room_polygons(spark, sf_dir):
+@query("k2_shortest_paths", f"{_WALK_BASE}, {WAYS} SELECT room, src, dst, length_m, cells FROM ({_TRAFFIC})")
+def shortest_paths(spark, sf_dir):
+    return _walks(spark, sf_dir, COARSE).where("type = 'traffic_path'").select("room", "src", "dst", "length_m", "cells")
+
+
+@query("k3_half_widths", f"WITH {q.SCENE}, {GRID} SELECT room, r AS row, c AS col, w * 0.5::DOUBLE AS half_width_m FROM hw")
+def corridor_half_widths(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return pg.room_polygons(s.walls, rel.wall_entities(s.walls)).select("room", r("area"), r("cx"), r("cy"), F.size("ring").cast("long").alias("points"))
+    return corridors(s.rooms, s.furniture, COARSE).select("room", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "half_width_m")
+
+
+@query("d17_path_blockers", f"{_WALK_BASE}, {WAYS}, {TRACKS} SELECT room, src, dst, from_door, distance_m FROM ({_BLOCKED})")
+def path_blockers(spark, sf_dir):
+    return _walks(spark, sf_dir, COARSE).where("type = 'blocks_path'").select("room", "src", "dst", "from_door", "distance_m")
+
+
+@query("k4_walks", f"{_WALK_BASE}, {WAYS}, {TRACKS} {_TRAFFIC} UNION ALL {_BLOCKED}")
+def traffic(spark, sf_dir):
+    return _walks(spark, sf_dir, COARSE)
+
+
+@query("k4_walks_fine")
+def traffic_fine(spark, sf_dir):
+    """On the grid of production; tests hold it against a plain search."""
+    return _walks(spark, sf_dir, C)
+
+
+# rooms by number: closed; closed and split by a wall; two walls (their hull); one wall (what is around it)
+_WD = "(4 + room % 7 * 0.5) AS w, (3 + room % 5 * 0.5) AS d"
+_DRAWN = {
+    "area": ("w * d", "w * 0.6 * d", "w * d / 2", "w * 0.12"),
+    "cx": ("w / 2", "w * 0.7", "w * 2 / 3", "w / 2"),
+    "cy": ("d / 2", "d / 2", "d / 3", "0.0"),
+    "points": ("5", "5", "4", "5"),
+}
+
+
+@query("c1_room_polygons", f"WITH {q.ROOM}, m AS (SELECT room, {_WD} FROM room) SELECT room, " + ", ".join(f"round((CASE room % 4 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(xs))} END)::DOUBLE, 6) + 0.0 AS {n}" if n != "points" else f"(CASE room % 4 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(xs))} END)::BIGINT AS points" for n, xs in _DRAWN.items()) + " FROM m")
+def room_polygons(spark, sf_dir):
+    walls = drawn_walls(room_ids(spark, sf_dir))
+    return pg.room_polygons(walls, rel.wall_entities(walls)).select("room", r("area"), r("cx"), r("cy"), F.size("ring").cast("long").alias("points"))
 
 
 # --- layout text

@@ -13,7 +13,7 @@ from plenum.operators import polygons as pg
 from plenum.operators import relations as rel
 from plenum.operators import rules as ru
 from plenum.operators import zones as zo
-from plenum.operators.paths import Grid, walk, walks
+from plenum.operators.paths import Grid, blockers, walks, walks_of
 from plenum.sources import layout as ly
 
 SAMPLE = """# a room of 4 x 3
@@ -109,35 +109,82 @@ def test_walks(scene):
     assert {r.src for r in rows if r.type == "blocks_path"} <= {"bbox_0", "bbox_1", "bbox_2"}
 
 
+def random_rooms(seed, n, boxes=4):
+    r = random.Random(seed)
+    ring = [{"x": x, "y": y} for x, y in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]
+    box = lambda i: {"id": f"b{i}", "x": r.uniform(0, 2), "y": r.uniform(0, 2), "width": r.uniform(0.1, 0.7), "depth": r.uniform(0.1, 0.7), "yaw": r.uniform(0, 3), "blocks": True}
+    return [{"ring": ring, "boxes": [box(i) for i in range(boxes)], "doors": [{"id": "d0", "x": 0.1, "y": 0.1}, {"id": "d1", "x": r.uniform(0, 2), "y": 0.0}], "zones": [{"zone_id": "z0", "x": 1.9, "y": 1.9}, {"zone_id": "z1", "x": r.uniform(0, 2), "y": r.uniform(0, 2)}]} for _ in range(n)]
+
+
+def costs_by_force(free, start):
+    cost = {start: 0.0}
+    while True:  # Bellman-Ford
+        new = dict(cost)
+        for (a, b), d in cost.items():
+            for da in (-1, 0, 1):
+                for db in (-1, 0, 1):
+                    p = (a + da, b + db)
+                    if (da or db) and 0 <= p[0] < free.shape[0] and 0 <= p[1] < free.shape[1] and free[p] and d + math.hypot(da, db) < new.get(p, math.inf) - 1e-12:
+                        new[p] = d + math.hypot(da, db)
+        if new == cost:
+            return cost
+        cost = new
+
+
 def test_paths_are_shortest():
-    r = random.Random(2)
-    for _ in range(12):
-        boxes = [{"id": f"b{i}", "x": r.uniform(0, 2), "y": r.uniform(0, 2), "width": r.uniform(0.1, 0.7), "depth": r.uniform(0.1, 0.7), "yaw": r.uniform(0, 3), "blocks": True} for i in range(4)]
-        grid = Grid([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], boxes, 0.1)
+    """Lengths, cells, half widths and the stated choice among equal paths, against plain searches cell by cell."""
+    config = SceneConfig(grid_cell=0.1)
+    rooms = random_rooms(2, 12)
+    walked = {(w.room, w.door, w.zone): w for w in walks_of(rooms, config)}
+    for k, room in enumerate(rooms):
+        grid = Grid([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], room["boxes"], 0.1)
         free = grid.grid
-        start, goal = grid.nearest(grid.at(0.1, 0.1)), grid.nearest(grid.at(1.9, 1.9))
-        cost = {start: 0.0}
-        for _ in range(free.size):  # Bellman-Ford
-            new = dict(cost)
-            for (a, b), d in cost.items():
-                for da in (-1, 0, 1):
-                    for db in (-1, 0, 1):
-                        p = (a + da, b + db)
-                        if (da or db) and 0 <= p[0] < free.shape[0] and 0 <= p[1] < free.shape[1] and free[p] and d + math.hypot(da, db) < new.get(p, math.inf) - 1e-12:
-                            new[p] = d + math.hypot(da, db)
-            if new == cost:
-                break
-            cost = new
-        path = grid.path(start, goal)
-        assert (path is None) == (goal not in cost)
-        if path:
-            assert sum(math.dist(p, q) for p, q in zip(path, path[1:], strict=False)) == pytest.approx(cost[goal])
+        shut = [tuple(c) for c in np.argwhere(~np.pad(free, 1)) - 1]
+        for door in room["doors"]:
+            cost = costs_by_force(free, grid.nearest(grid.at(door["x"], door["y"])))
+            for zone in room["zones"]:
+                goal = grid.nearest(grid.at(zone["x"], zone["y"]))
+                w = walked.get((k, door["id"], zone["zone_id"]))
+                assert (w is None) == (goal not in cost)
+                if w is None:
+                    continue
+                assert w.length == pytest.approx(cost[goal] * 0.1)
+                back, here = [goal], goal
+                while cost[here] > 0:  # above, left, right, below, then diagonals
+                    here = next((here[0] + dr, here[1] + dc) for dr, dc in ((-1, 0), (0, -1), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)) if abs(cost.get((here[0] + dr, here[1] + dc), math.inf) + math.hypot(dr, dc) - cost[here]) < 1e-9)
+                    back.append(here)
+                assert [tuple(c) for c in w.cells] == back[::-1]
+                widths = [min(15, min(max(abs(r - a), abs(c - b)) for a, b in shut)) * 0.1 for r, c in w.cells]
+                assert w.half_width.tolist() == pytest.approx(widths)
+
+
+def test_blockers_are_the_first_tight_places():
+    config = SceneConfig(grid_cell=0.1)
+    rooms = random_rooms(3, 10)
+    for w in walks_of(rooms, config):
+        want = {}
+        for (x, y), half in zip(w.points, w.half_width, strict=True):
+            for b in rooms[w.room]["boxes"]:
+                dx, dy, c, s = x - b["x"], y - b["y"], math.cos(b["yaw"]), math.sin(b["yaw"])
+                d = math.hypot(max(abs(dx * c + dy * s) - b["width"] / 2, 0), max(abs(dy * c - dx * s) - b["depth"] / 2, 0))
+                if half < 0.6 and d <= 0.4:
+                    want.setdefault(b["id"], d)
+        assert dict(blockers(w, rooms[w.room]["boxes"], config)) == pytest.approx(want)
+
+
+def test_convex_overlaps_equal_clipping():
+    r = np.random.default_rng(4)
+    ends = r.uniform(0, 3, (4, 300))
+    box = np.stack([*r.uniform(0, 3, (2, 300)), *r.uniform(0.1, 2, (2, 300)), r.uniform(0, 6, 300)])
+    x, y = pg.corridors_of(*ends, 0.3, 16)
+    got = pg.convex_in_boxes(x, y, box)
+    want = [abs(pg.area(pg.clip(list(zip(x[k], y[k], strict=True)), pg.box_ring(*box[:, k])))) for k in range(300)]
+    assert np.allclose(got, want, atol=1e-9) and pg.is_convex([(0, 0), (1, 0), (0, 1)]) and not pg.is_convex([(0, 0), (2, 0), (1, 0.5), (2, 2)])
 
 
 def test_walk_without_room_left():
     room = {"ring": [{"x": x, "y": y} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))], "boxes": [{"id": "b", "x": 0.5, "y": 0.5, "width": 3.0, "depth": 3.0, "yaw": 0.0, "blocks": True}], "doors": [{"id": "d", "x": 0.1, "y": 0.0}], "zones": [{"zone_id": "z", "x": 0.9, "y": 0.9}]}
-    traffic, _ = walk(room, SceneConfig())
-    assert len(traffic) == 1
+    assert len(walks_of([room], SceneConfig())) == 1
 
 
 def test_areas_against_clipping():
