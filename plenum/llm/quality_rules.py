@@ -2,9 +2,12 @@
 
 A text is compressed whole and in chunks of fixed size.  Its ratio (compressed bytes to bytes) must lie in a band that
 depends on its length, as short texts compress badly: below the band it is repetitive, above it incompressible.  A text
-fails the chunk rule if more than half of its chunks leave the chunk band.
+fails the chunk rule if more than half of its chunks leave the chunk band.  The chunks cover every byte of a text that
+has one at least: what is left after the last whole chunk is judged by a chunk that ends with the text.  A text shorter
+than a chunk is judged whole only.
 
 Null and empty texts have no words, and so fail the base rule.  Texts shorter than the first band have no ratio to judge.
+A very long text is judged by all of its bytes, repeated rows each by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,8 +105,11 @@ class _Judge:
         band = self.band(len(raw))
         if band:
             verdict = "repetitive" if ratio < band[0] else "incompressible" if ratio > band[1] else verdict
-        if len(raw) >= 2 * r.chunk_bytes:
-            for at in range(0, len(raw) - r.chunk_bytes + 1, r.chunk_bytes):
+        if len(raw) >= r.chunk_bytes:
+            starts = list(range(0, len(raw) - r.chunk_bytes + 1, r.chunk_bytes))
+            if len(raw) % r.chunk_bytes:
+                starts.append(len(raw) - r.chunk_bytes)
+            for at in starts:
                 own = len(self.compress(raw[at : at + r.chunk_bytes])) / r.chunk_bytes
                 chunks += 1
                 bad += not r.chunk_band[0] <= own <= r.chunk_band[1]

@@ -10,7 +10,10 @@ Text is cut where no piece can reach over: before a space mark that follows anot
 inside, and around line feeds, if no longer piece has one.  Counts of parts are kept, as words recur.
 
 The public vocabularies hold no unigram model.  piece_bpe_32k.model's pieces and scores are read as one; what is exact
-is the count of the tokenizers library's Unigram over that vocabulary.  Null and empty texts have no tokens.
+is the count of the tokenizers library's Unigram over that vocabulary, without the model file's normaliser.
+
+Null and empty texts have no tokens.  A very long text is counted whole, in parts; repeated rows each for itself, and an
+empty table gives no rows.  Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, worker_kept
 
 SPACE = "▁"
 PENALTY = 10.0
@@ -117,7 +120,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     """doc_id and n_tokens of every row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = worker_kept(("counter", hash(vocabulary)), lambda: Counter(vocabulary))
         for batch in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.tokens(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -15,7 +15,6 @@ Spark's own committer writes the files, so a task that is run again never leaves
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -168,14 +167,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.has_added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
-        #: an added token with white space isn't seen in any word: then every text is encoded whole
-        self.only_whole = any(t.split() != [t] for t in added)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        #: an added token with white space, or found in normalised text, isn't seen in any word: then every text is encoded whole
+        self.only_whole = any(t.split() != [t] for t in self.added) or self.tokenizer.normalizer is not None
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.line_feed = int(self.raw(["\n"])[0][0])
         self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 6)
 
+    def has_added(self, words: str) -> bool:
+        return any(t in words for t in self.added)
+
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
