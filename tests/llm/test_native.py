@@ -80,6 +80,88 @@ def test_random_tokens_of_each_alphabet(spark):
         assert sum(of) >= 0.85 * len(of), (alphabet, sum(of), len(of))
 
 
+def tested_by_force(token):
+    """band, battery bin and word bin of a token: the tests of the docstring, in plain Python."""
+    body = token.translate(str.maketrans("-_", "+/")).rstrip("=")
+    n = len(body)
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        alphabet, text, fitting = sc.HEX, body.lower(), 16
+    elif re.fullmatch("[A-Z2-7]+", body):
+        alphabet, text, fitting = sc.BASE32, body, 32
+    else:
+        alphabet, text = sc.BASE64, body
+        fitting = next((size for pattern, size in sc.ALPHABETS if re.search(pattern, body)), 64)
+    size, squares = len(alphabet), sum(text.count(c) ** 2 for c in alphabet)
+    codes = [alphabet.find(c) + 1 for c in text]  # "=" within a token is no symbol
+    upper = ["=" if not c else "1" if c > size // 2 else "0" for c in codes]
+    ones = upper.count("1")
+    runs = 1 + sum(a != b and "=" not in (a, b) for a, b in zip(upper, upper[1:]))
+    mean_runs = 1 + 2 * ones * (n - ones) / n
+    z_runs = (runs - mean_runs) / math.sqrt(max((mean_runs - 1) * (mean_runs - 2) / (n - 1), 1e-9))
+    middle = sum(codes) / n
+    z_serial = math.sqrt(n) * sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:])) / max(sum((c - middle) ** 2 for c in codes), 1e-9)
+    chi = squares * size / n - n
+    z_even = (squares * fitting / n - n - (fitting - 1)) / math.sqrt(2 * (fitting - 1) * (n - 1) / n)
+    uneven = (n - 1) * max(size * 0.066 - 1, 0.5)
+    z = (size - 1 + uneven - chi) / math.sqrt(2 * (size - 1) + 4 * uneven)
+    word = (z * z / 2 + math.log(2)) / math.log(10) if z > 0 else 0
+    x = z_even**2 + z_runs**2 + z_serial**2
+    battery = (x - 3 - 3 * math.log(x / 3)) / 2 / math.log(10) if x > 3 else 0
+    return sum(n >= b for b in (28, 40, 64)), int(min(battery, 60) / 0.1), int(min(word, 60) / 0.1)
+
+
+def added_by_force(texts):
+    tokens = []
+    for d, text in texts.items():
+        base = base_spans(text)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+            t = m.group()
+            mixed = bool(re.search("[0-9]", t)) + bool(re.search("[a-z]", t)) + bool(re.search(".[A-Z]", t))
+            if mixed >= 2 and all(b <= m.start() or m.end() <= a for a, _, b in base):
+                tokens.append((d, m.start(), m.end(), *tested_by_force(t)))
+
+    def least(rows, column):
+        out = {}
+        for band in {t[3] for t in rows}:
+            bins = sorted((t[column] for t in rows if t[3] == band), reverse=True)
+            for k, at in enumerate(bins, 1):
+                if (k == len(bins) or bins[k] != at) and 10 ** (-at * 0.1) <= 0.01 * k / len(bins):
+                    out[band] = at
+        return out
+
+    even = least(tokens, 4)
+    judged = [(*t[:5], t[5] if t[4] < even.get(t[3], 10**9) else 0) for t in tokens]
+    word = least(judged, 5)
+    return {(d, a, b) for d, a, b, band, battery, at in judged if battery < even.get(band, 10**9) and at >= word.get(band, 10**9)}
+
+
+def test_added_spans_equal_plain_python(spark, sf):
+    r = random.Random(11)
+    texts = {x.doc_id: x.text for x in table(spark, sf, "documents").collect()}
+    top = max(texts) + 1
+    pieces = ["password=", "AKIA", " ", "\n", ":", "deadbeefdeadbeef", "camelCaseIdentifierNumber2", "some/long/path/Name-With-3", "aaaaAAAA1111aaaaAAAA1111", "\ue000", "é"]
+    for i in range(300):
+        text = ""
+        for _ in range(r.randrange(1, 9)):
+            alphabet = r.choice([sc.BASE64, sc.BASE62, sc.BASE36, sc.BASE32, sc.HEX.upper()])
+            text += r.choice([r.choice(pieces), "".join(r.choices(alphabet, k=r.randrange(10, 90))), " ".join(words(i, 4, 2000))]) + r.choice(["", " ", "\n"])
+        texts[top + i] = text
+    docs = frame(spark, list(texts.items()))
+    got = {(x.doc_id, s.start, s.end) for x in sc.secrets(docs).collect() for s in x.added}
+    want = added_by_force(texts)
+    assert got == want and len(want) > 100
+
+
+def test_secrets_of_a_text_with_many(spark):
+    """Thousands of matches and tokens in one text."""
+    r = random.Random(3)
+    lines = [f"password = {'x' * 12}{i} {''.join(r.choices(sc.BASE64, k=30))} 0123456789abcdef{i:x}" for i in range(5_000)]
+    texts = {1: "\n".join(lines), 2: "nothing here"}
+    rows = sc.secret_digest(sc.secrets(frame(spark, list(texts.items())))).collect()
+    check(rows, texts)
+    assert {x.doc_id: (x.n_assign, x.n_hex) for x in rows}[1] == (5_000, 5_000)
+
+
 def test_secrets_odd(spark, odd, empty):
     rows = sc.secret_digest(sc.secrets(odd)).collect()
     assert len(rows) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)

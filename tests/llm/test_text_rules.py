@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from conftest import frame, words  # tests/llm/conftest.py
 
 from plenum.llm import license_scan as ls
@@ -54,6 +55,37 @@ def test_quality_bands(spark):
     assert got[4].verdict != "in band" and not got[4].kept
 
 
+def verdict_by_force(text):
+    """Ratio, chunks, bad chunks and verdict by zstandard alone."""
+    raw = (text or "").encode()
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(x))
+    bad = 0
+    starts = [*range(0, len(raw) - 4095, 4096), *([len(raw) - 4096] if len(raw) > 4096 and len(raw) % 4096 else [])]
+    for at in starts:
+        bad += not 0.22 <= size(raw[at : at + 4096]) / 4096 <= 0.85
+    verdict = "in band"
+    for least, low, high in qr.BANDS:
+        if len(raw) >= least:
+            ratio = size(raw) / len(raw)
+            verdict = "repetitive" if ratio < low else "incompressible" if ratio > high else "in band"
+    if verdict == "in band" and bad > len(starts) / 2:
+        verdict = "chunks out of band"
+    return size(raw) / len(raw) if raw else None, len(starts), bad, verdict
+
+
+def test_quality_verdicts_equal_zstandard(spark, sf):
+    """Ratios, chunks (the last one ends with the text) and verdicts of all texts and of some at the edges of a chunk."""
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    top = max(texts) + 1
+    good, noise = " ".join(words(5, 4000, 5000)), "".join(random.Random(1).choices("".join(chr(33 + k) for k in range(94)), k=9000))
+    for k, text in enumerate([good[:4095], good[:4096], good[:4097], good[:8191], good[:8192], good[:3000] + noise[:5200], noise[:4100], "ab " * 1500 + good[:3000]]):
+        texts[top + k] = text
+    for r in qr.quality_rules(frame(spark, list(texts.items()))).collect():
+        ratio, chunks, bad, verdict = verdict_by_force(texts[r.doc_id])
+        assert (r.chunks, r.bad_chunks, r.verdict) == (chunks, bad, verdict) and r.ratio == (pytest.approx(ratio) if ratio else None)
+        assert r.kept == (not r.base_failed and verdict == "in band")
+
+
 def test_quality_odd(spark, odd, empty):
     rows = qr.quality_rules(odd).collect()
     assert len(rows) == odd.count() and all(r.base_failed for r in rows if r.n_words < 50)
@@ -69,6 +101,38 @@ def test_classifier(spark, sf):
     assert np.mean([p == q for p, q in out]) > 0.9
 
 
+def test_scores_equal_numpy(spark, sf):
+    """The discriminant by text-book formulas (means, shrunken covariances, Mahalanobis distances, Newton steps) on all rows."""
+    stats = {r.doc_id: np.array(r.x) for r in qc.document_statistics(table(spark, sf, "documents")).collect()}
+    known = [(r.doc_id, r.quality) for r in table(spark, sf, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in stats]
+    xs = [np.array([stats[d] for d, q in known if q == c]) for c in (0, 1)]
+    n, d = [len(x) for x in xs], len(qc.STATISTICS)
+    means, covs = [x.mean(axis=0) for x in xs], [np.cov(x.T, bias=True) for x in xs]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    parts = []
+    for c in (0, 1):
+        w = min(1.0, 0.1 + d / n[c])
+        cov = 0.98 * ((1 - w) * covs[c] + w * pooled) + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.trace(pooled) / d * np.eye(d)
+        parts.append((means[c], np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+    prior = np.log((n[1] + 1) / (n[0] + 1))
+
+    def difference(x):
+        p = [-0.5 * (x - m) @ inv @ (x - m) - 0.5 * det for m, inv, det in parts]
+        return p[1] - p[0] + prior
+
+    model = qc.quality_model(qc.document_statistics(table(spark, sf, "documents")), table(spark, sf, "labels"))
+    rows = queries.op6_quality_classifier(spark, sf).collect()
+    assert len(rows) == len(stats)
+    for r in rows:
+        want = 1 / (1 + np.exp(-np.clip(model.scale * difference(stats[r.doc_id]) + model.offset, -30, 30)))
+        assert r.score == pytest.approx(want, abs=1e-6)
+    # scale and offset: the logistic fit to the differences themselves, which the histogram comes near to
+    u, y = np.array([difference(stats[i]) for i, _ in known]), np.array([q for _, q in known])
+    loss = lambda a, b: np.mean(np.logaddexp(0, np.where(y == 1, -1, 1) * np.clip(a * u + b, -30, 30))) + 5e-4 * ((a - 0.3) ** 2 + b**2)
+    best = min(loss(a, b) for a in np.linspace(0.001, 1.5, 60) for b in np.linspace(-3, 3, 61))
+    assert loss(model.scale, model.offset) <= best + 1e-3
+
+
 def test_classifier_never_reads_held_out(spark, sf):
     stats = qc.document_statistics(table(spark, sf, "documents")).cache()
     labels = table(spark, sf, "labels")
