@@ -100,6 +100,19 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, small: bool) -> Data
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def salted_join(rows: DataFrame, right: DataFrame, key: str, by: str, many: int = 1024) -> DataFrame:
+    """rows joined with right (one row for each key), where a key that more than `many` rows have is in several tasks.
+
+    Such rows are dealt by a hash of the column `by`, and what right has for their key goes to each of these parts.
+    """
+    heavy = rows.groupBy(key).count().where(F.col("count") > many).select(key, F.ceil(F.col("count") / many).cast("int").alias("__parts"))
+    heavy = written(heavy, "heavy")
+    small = fits_broadcast(heavy, 64)
+    own = joined(rows, heavy, key, "left", small).withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(by), "__parts")).otherwise(0).cast("int")).drop("__parts")
+    dealt = joined(right, heavy, key, "left", small).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return own.join(dealt, [key, "__part"]).drop("__part")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

@@ -14,8 +14,10 @@ that are in different classes then go through an exact join on the shingles that
 left out but those whose ends are in one class already, and a bucket full of copies costs as many comparisons as it has
 members.  A pair is a link if the Jaccard similarity of its sets of shingles, from the whole texts, reaches the threshold.
 
-Texts without words are one node if they are equal, and have no links.  Null texts are classes of their own.  A text shorter than five words is one shingle.  Rows with
-null or equal ids are classed by their texts; the class id is the smallest id among the class.
+Texts without words are one node if they are equal, and have no links.  Null texts are classes of their own.  A text
+shorter than five words is one shingle, a very long one has all of its shingles.  Repeated rows, and rows with null or
+equal ids, are classed by their texts; the class id is the smallest id among the class.  An empty table gives no rows.
+Other columns, whatever their names, are carried along by the stage and not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, joined, mix64, shingles, sliced, word_hashes, written
+from .common import fits_broadcast, joined, mix64, salted_join, shingles, sliced, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -149,7 +151,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     similarity = both / (F.size("set_a") + F.size("set_b") - both)
-    return pairs.join(left, "a").join(right, "b").where(similarity >= threshold).select("a", "b")
+    # a hub is an end of many pairs
+    return salted_join(salted_join(pairs, left, "a", "b"), right, "b", "a").where(similarity >= threshold).select("a", "b")
 
 
 def outside_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -162,7 +165,7 @@ def outside_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """
     own, hub_set = sets.select("key", "set"), sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set"))
     outside = F.array_except("set", "hub_set")
-    nodes = rest.join(own, "key").join(hub_set, "hub").select("hub", "hub_n", "key", "label", "n", outside.alias("outside"))
+    nodes = salted_join(rest, hub_set, "hub", "key").join(own, "key").select("hub", "hub_n", "key", "label", "n", outside.alias("outside"))
     nodes = nodes.withColumn("inside", F.col("n") - F.size("outside"))
     smallest = rest.groupBy("hub").agg(F.min("n").alias("least"))
     share = threshold / (1 + threshold)  # of the sum of two sizes: the overlap that the threshold asks for
@@ -247,6 +250,7 @@ def classes(docs: DataFrame, config: NearConfig = NearConfig()) -> Classes:
     classed = written(classed, "classed")
     split = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     rest = classed.join(split, "bucket").join(hubs.select("bucket", "hub", "hub_n"), "bucket").where("key <> hub").select("hub", "hub_n", "key", "label", "n").distinct()
+    rest = written(rest, "rest")
     more = written(outside_pairs(rest, sets, config.threshold).join(first, ["a", "b"], "left_anti"), "pairs")
     late = written(verified(more, sets, config.threshold), "found")
     if not late.isEmpty():

@@ -495,4 +495,57 @@ def test_pipeline(spark, sf):
             mixed = seen.select("text").collect()
             assert len(rows) == len(mixed) and sum(r.n_tokens for r in rows) == sum(map(len, library_ids([r.text for r in mixed])))
         seen = out
-    assert F is not None
+
+
+def run_stages(spark, docs, sf_dir):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        docs = out.cache()
+        docs.count()
+    return docs, corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+
+
+def test_pipeline_odd(spark, sf, odd, empty):
+    """Null, empty, blank, long, repeated and clashing rows go through all stages; empty tables stay empty."""
+    rows = [(100 + i, " ".join(words(i, 60 + i, 3000)) + ".", "ab"[i % 2]) for i in range(12)]
+    docs = clashing(odd.unionByName(frame(spark, rows)))
+    mixed, tokens = run_stages(spark, docs, sf)
+    kept = mixed.collect()
+    assert kept and all(r[c] == f"own {c}" for r in kept for c in CLASHES) and all(r.text.split() for r in kept)
+    got = tokens.collect()
+    assert len(got) == len(kept) and sum(r.n_tokens for r in got) == sum(map(len, library_ids([r.text for r in kept])))
+    none, tokens = run_stages(spark, clashing(empty), sf)
+    assert none.count() == 0 and tokens.count() == 0
+
+
+def test_stages_carry_other_columns(spark, sf):
+    """Each filtering stage returns rows of its input as they are."""
+    docs = clashing(table(spark, sf, "documents")).cache()
+    plain = {r.doc_id for r in nd.drop_near_duplicates(table(spark, sf, "documents")).collect()}
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert {r.doc_id for r in kept} == plain and all(r[c] == f"own {c}" for r in kept for c in CLASHES)
+    for stage in (corpus_pipeline.quality, corpus_pipeline.decontamination):
+        some = stage(spark, docs, sf)
+        assert some.columns == docs.columns and some.exceptAll(docs).isEmpty() and not some.isEmpty()
+
+
+def test_near_duplicates_with_a_long_tail(spark):
+    """Bases of 60 words, and each again with a phrase of five words repeated a thousand times: sets at 0.86 all linked."""
+    rows = []
+    for i in range(60):
+        base, phrase = words(i + 300, 60, 4000), words(i + 900, 5, 4000)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + phrase * 1000))]
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(frame(spark, rows)).collect()}
+    assert got == classes_by_force(dict(rows)) and all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
+def test_near_duplicates_of_a_hub(spark):
+    """More copies of one text than a task takes of a key: the hub's pairs are dealt over several."""
+    r, base, rows = random.Random(4), words(70, 60, 5000), []
+    for i in range(1400):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {x.class_id for x in nd.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0}
