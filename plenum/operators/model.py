@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tape as t
 from ..functions import vocab
 
 FORWARD = (("object", "spatial", "object"), ("object", "to_wall", "wall"), ("door", "aperture_wall", "wall"), ("window", "aperture_wall", "wall"), ("object", "to_room", "room"), ("door", "to_room", "room"), ("window", "to_room", "room"), ("object", "to_zone", "zone"), ("door", "door_to_zone", "zone"), ("door", "entry_path", "object"))
-RELATIONS = FORWARD + tuple((t, f"rev_{r}", s) for s, r, t in FORWARD)
+RELATIONS = FORWARD + tuple((to, f"rev_{r}", of) for of, r, to in FORWARD)
 EDGE_SIZE, NODE_SIZE = len(vocab.EDGE_FEATURES) + len(vocab.EDGE_TYPES) + 1, 8
 
 
@@ -45,9 +46,9 @@ def init_weights(config: ModelConfig = ModelConfig(), seed: int = 0) -> dict[str
         out[f"{name}.scale"], out[f"{name}.shift"] = np.ones(h), np.zeros(h)
 
     out["labels"] = r.normal(0, 1, (len(vocab.LABELS) + 1, config.label_size))
-    for t in vocab.NODE_TYPES:
-        linear(f"in.{t}", NODE_SIZE + config.label_size, h)
-        norm(f"in.{t}")
+    for kind in vocab.NODE_TYPES:
+        linear(f"in.{kind}", NODE_SIZE + config.label_size, h)
+        norm(f"in.{kind}")
     for k in range(config.layers):
         for rel in RELATIONS:
             name = f"{k}.{'.'.join(rel)}"
@@ -56,59 +57,68 @@ def init_weights(config: ModelConfig = ModelConfig(), seed: int = 0) -> dict[str
             linear(f"{name}.edge", EDGE_SIZE, h, bias=False)
             out[f"{name}.attention"] = r.uniform(-0.5, 0.5, (config.heads, h // config.heads))
             out[f"{name}.bias"] = np.zeros(h)
-        for t in vocab.NODE_TYPES:
-            norm(f"{k}.norm.{t}")
-    for t in vocab.HEAD_TYPES:
-        linear(f"head.{t}", h, len(vocab.PRINCIPLES) * len(vocab.STATUSES))
+        for kind in vocab.NODE_TYPES:
+            norm(f"{k}.norm.{kind}")
+    for kind in vocab.HEAD_TYPES:
+        linear(f"head.{kind}", h, len(vocab.PRINCIPLES) * len(vocab.STATUSES))
     linear("score.0", 2 * h, h)
     linear("score.1", h, 1)
     return out
 
 
-def _gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.vectorize(math.erf)(x / math.sqrt(2))) if x.size else x
-
-
-def _norm(x: np.ndarray, w: dict, name: str) -> np.ndarray:
-    centred = x - x.mean(axis=-1, keepdims=True)
-    return centred / np.sqrt((centred * centred).mean(axis=-1, keepdims=True) + 1e-5) * w[f"{name}.scale"] + w[f"{name}.shift"]
+def _attended(source: t.Var, target: t.Var, src: np.ndarray, dst: np.ndarray, features: np.ndarray, w: dict[str, t.Var], name: str, heads: int) -> t.Var:
+    left = source @ w[f"{name}.source.w"] + w[f"{name}.source.b"]
+    right = target @ w[f"{name}.target.w"] + w[f"{name}.target.b"]
+    taken = left.rows(src)
+    mixed = t.leaky(taken + right.rows(dst) + t.Var(features) @ w[f"{name}.edge.w"]).reshaped(len(src), heads, -1)
+    share = t.shares_by((mixed * w[f"{name}.attention"]).total(axis=2), dst, len(target.value))
+    parts = share.reshaped(len(src), heads, 1) * taken.reshaped(len(src), heads, -1)
+    return parts.into(dst, len(target.value)).reshaped(len(target.value), -1) + w[f"{name}.bias"]
 
 
 def attend(source: np.ndarray, target: np.ndarray, src: np.ndarray, dst: np.ndarray, features: np.ndarray, w: dict, name: str, heads: int) -> np.ndarray:
     """What every target node takes from its incoming edges of one relation."""
-    left = source @ w[f"{name}.source.w"] + w[f"{name}.source.b"]
-    right = target @ w[f"{name}.target.w"] + w[f"{name}.target.b"]
-    mixed = left[src] + right[dst] + features @ w[f"{name}.edge.w"]
-    mixed = np.where(mixed > 0, mixed, 0.2 * mixed).reshape(len(src), heads, -1)
-    logits = (mixed * w[f"{name}.attention"]).sum(axis=-1)
-    top = np.full((len(target), heads), -np.inf)
-    np.maximum.at(top, dst, logits)
-    e = np.exp(logits - top[dst])
-    total = np.zeros((len(target), heads))
-    np.add.at(total, dst, e)
-    share = e / (total[dst] + 1e-16)
-    out = np.zeros((len(target), heads, mixed.shape[-1]))
-    np.add.at(out, dst, share[:, :, None] * left[src].reshape(len(src), heads, -1))
-    return out.reshape(len(target), -1) + w[f"{name}.bias"]
-
-
-def forward(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], w: dict, config: ModelConfig = ModelConfig()) -> tuple[dict[str, np.ndarray], float]:
+    return _attended(t.Var(source), t.Var(target), src, dst, features, {k: t.Var(v) for k, v in w.items()}, name, heads).value
+
+
+def forward(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], w: dict[str, t.Var], config: ModelConfig = ModelConfig()) -> tuple[dict[str, t.Var], t.Var | None]:
     """nodes: features and labels by type; edges: sources, targets, features by relation.  Logits by head type, and the graph's logit."""
-    x = {t: _norm(_gelu(np.concatenate([f, w["labels"][labels]], axis=1) @ w[f"in.{t}.w"] + w[f"in.{t}.b"]), w, f"in.{t}") for t, (f, labels) in nodes.items()}
-    for k in range(config.layers):
-        got: dict[str, np.ndarray] = {}
+    x = {k: t.normed(t.gelu(t.joined([t.Var(f), w["labels"].rows(labels)], axis=1) @ w[f"in.{k}.w"] + w[f"in.{k}.b"]), w[f"in.{k}.scale"], w[f"in.{k}.shift"]) for k, (f, labels) in nodes.items()}
+    for layer in range(config.layers):
+        got: dict[str, t.Var] = {}
         for rel in RELATIONS:
             if rel in edges and rel[0] in x and rel[2] in x:
-                part = attend(x[rel[0]], x[rel[2]], *edges[rel], w, f"{k}.{'.'.join(rel)}", config.heads)
+                part = _attended(x[rel[0]], x[rel[2]], *edges[rel], w, f"{layer}.{'.'.join(rel)}", config.heads)
                 got[rel[2]] = got[rel[2]] + part if rel[2] in got else part
-        x = {t: _norm(v + _gelu(got[t]) if t in got else v, w, f"{k}.norm.{t}") for t, v in x.items()}
-    logits = {t: (x[t] @ w[f"head.{t}.w"] + w[f"head.{t}.b"]).reshape(len(x[t]), len(vocab.PRINCIPLES), len(vocab.STATUSES)) for t in vocab.HEAD_TYPES if t in x}
-    present = [x[t] for t in vocab.NODE_TYPES if t in x]
+        x = {k: t.normed(v + t.gelu(got[k]) if k in got else v, w[f"{layer}.norm.{k}.scale"], w[f"{layer}.norm.{k}.shift"]) for k, v in x.items()}
+    logits = {k: (x[k] @ w[f"head.{k}.w"] + w[f"head.{k}.b"]).reshaped(len(x[k].value), len(vocab.PRINCIPLES), len(vocab.STATUSES)) for k in vocab.HEAD_TYPES if k in x}
+    present = [x[k] for k in vocab.NODE_TYPES if k in x]
     if not present:
-        return logits, 0.0
-    every = np.concatenate(present)
-    pooled = np.concatenate([every.mean(axis=0), every.max(axis=0)])
-    return logits, float((_gelu(pooled @ w["score.0.w"] + w["score.0.b"]) @ w["score.1.w"] + w["score.1.b"])[0])
+        return logits, None
+    pooled = t.mean_and_max(t.joined(present, axis=0))
+    return logits, t.gelu(pooled @ w["score.0.w"] + w["score.0.b"]) @ w["score.1.w"] + w["score.1.b"]
+
+
+def _tensors(room: dict) -> tuple[dict, dict, dict[str, list], dict[str, int]]:
+    """What forward() reads of a room's row, its nodes by type, and the place of each node among those of its type."""
+    by_type: dict[str, list] = {}
+    place = {}
+    for node in room["nodes"]:
+        group = by_type.setdefault(node["node_type"], [])
+        place[node["id"]] = len(group)
+        group.append(node)
+    vectors = {k: (np.array([v["features"] for v in g], float), np.array([v["label_ix"] for v in g])) for k, g in by_type.items()}
+    groups: dict[tuple, list] = {}
+    for edge in room["edges"] or ():
+        groups.setdefault((edge["src_type"], edge["relation"], edge["dst_type"]), []).append((place[edge["src"]], place[edge["dst"]], edge["features"]))
+    return vectors, {rel: tuple(np.array(c) for c in zip(*g, strict=True)) for rel, g in groups.items()}, by_type, place
+
+
+def room_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """room, nodes and edges (lists): one row for each room."""
+    n = nodes.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("id", "node_type", "label_ix", "features"))).alias("nodes"))
+    e = edges.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "src_type", "relation", "dst_type", "features"))).alias("edges"))
+    return n.join(e, "room", "left")
 
 
 def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -116,39 +126,28 @@ def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarra
 
     nodes and edges as encoding.node_vectors() and edge_vectors(reverse=True) give them.
     """
-    n = nodes.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("id", "node_type", "label_ix", "features"))).alias("nodes"))
-    e = edges.groupBy("room").agg(F.collect_list(F.struct("src", "dst", "src_type", "relation", "dst_type", "features")).alias("edges"))
-    rows = n.join(e, "room", "left")
+    rows = room_graphs(nodes, edges)
     schema = "room long, target string, principle string, status string, score double, logits array<double>, graph_score double"
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: t.Var(v) for k, v in weights.items()}
         for batch in batches:
             out = []
             for room in batch.to_pylist():
-                by_type: dict[str, list] = {}
-                place = {}
-                for node in room["nodes"]:
-                    group = by_type.setdefault(node["node_type"], [])
-                    place[node["id"]] = len(group)
-                    group.append(node)
-                vectors = {t: (np.array([v["features"] for v in g], float), np.array([v["label_ix"] for v in g])) for t, g in by_type.items()}
-                groups: dict[tuple, list] = {}
-                for edge in room["edges"] or ():
-                    groups.setdefault((edge["src_type"], edge["relation"], edge["dst_type"]), []).append((place[edge["src"]], place[edge["dst"]], edge["features"]))
-                links = {rel: tuple(np.array(c) for c in zip(*g, strict=True)) for rel, g in groups.items()}
-                logits, graph = forward(vectors, links, weights, config)
-                score = 1 / (1 + math.exp(-graph))
-                for t in vocab.HEAD_TYPES:
-                    for k, node in enumerate(by_type.get(t, ())):
+                vectors, links, by_type, _ = _tensors(room)
+                logits, graph = forward(vectors, links, held, config)
+                score = 1 / (1 + math.exp(-graph.value.item()))
+                for kind in vocab.HEAD_TYPES:
+                    for k, node in enumerate(by_type.get(kind, ())):
                         for p, principle in enumerate(vocab.PRINCIPLES):
-                            if principle in vocab.APPLICABLE[t]:
-                                row = logits[t][k, p]
+                            if principle in vocab.APPLICABLE[kind]:
+                                row = logits[kind].value[k, p]
                                 share = np.exp(row - row.max())
                                 share /= share.sum()
                                 out.append((room["room"], node["id"], principle, vocab.STATUSES[int(share.argmax())], round(float(share @ np.array(vocab.STATUS_SCORES)), 4), row.tolist(), score))
             types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.float64()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=of) for c, of in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
     return rows.mapInArrow(predicted, schema)
 

@@ -117,6 +117,69 @@ def rescued_json(text: Column) -> Column:
     return F.when(F.try_parse_json(part).isNotNull(), part)
 
 
+def explanations(predictions: DataFrame, keys: tuple[str, ...] = ("room",)) -> DataFrame:
+    """A sentence for each result that isn't good."""
+    text = F.concat(F.initcap(F.replace("principle", F.lit("_"), F.lit(" "))), F.lit(" is "), F.col("status"), F.lit(" for "), F.col("target"), F.lit("."))
+    return predictions.where(F.col("status").isin("violated", "weak")).select(*keys, "seq", "target", "principle", "status", F.coalesce("score", F.lit(0.0)).alias("score"), text.alias("text"))
+
+
+_RANKED = "principle string, target string, score double, status string, impact string"
+_EXPLAINED = "target string, principle string, status string, score double, text string"
+
+
+def completed_extras(answers: DataFrame, predictions: DataFrame, scores: DataFrame) -> DataFrame:
+    """room, summary, recommendations, ranked_violations, explanations: a model's answer, or what predictions give where it has no such key.
+
+    answers: room and answer, a text that may hold a JSON object; a key counts if it is a text that isn't blank, or a list.
+    An impact that is missing is that of the principle.
+    """
+    read = answers.select("room", F.try_parse_json(rescued_json(F.col("answer"))).alias("v"))
+    has = lambda key, kind: F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant")).startswith(kind)
+    listed = lambda schema: "array<struct<" + schema.replace(" ", ":").replace(",:", ",") + ">>"
+    own = read.select(
+        "room",
+        F.when(has("summary", "STRING"), F.try_variant_get("v", "$.summary", "string")).alias("own_summary"),
+        F.when(has("recommendations", "ARRAY"), F.try_variant_get("v", "$.recommendations", "array<string>")).alias("own_recommendations"),
+        F.when(has("ranked_violations", "ARRAY"), F.try_variant_get("v", "$.ranked_violations", listed(_RANKED))).alias("own_ranked"),
+        F.when(has("explanations", "ARRAY"), F.try_variant_get("v", "$.explanations", listed(_EXPLAINED))).alias("own_explanations"),
+    )
+    def lists(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        rows = df.groupBy("room").agg(F.sort_array(F.collect_list(F.struct(order, value.alias("v")))).alias("l"))
+        return rows.select("room", F.transform("l", lambda x: x["v"]).alias(name))
+
+    fields = lambda schema: F.struct(*(c.split()[0] for c in schema.split(", ")))
+    rows = room_summary(predictions, scores).select("room", "summary").join(own, "room", "left")
+    rows = rows.join(lists(recommendations(predictions), "rank", F.col("recommendation"), "r"), "room", "left")
+    rows = rows.join(lists(ranked_violations(predictions), "rank", fields(_RANKED), "k"), "room", "left").join(lists(explanations(predictions), "seq", fields(_EXPLAINED), "e"), "room", "left")
+    given = F.transform("own_ranked", lambda x: x.withField("impact", F.coalesce(x["impact"], impact(x["principle"]))))
+    pick = lambda own, made, kind: F.coalesce(own, made, F.array().cast(kind))
+    return rows.select(
+        "room", F.when(F.trim("own_summary") != "", F.col("own_summary")).otherwise(F.col("summary")).alias("summary"),
+        pick(F.col("own_recommendations"), F.col("r"), "array<string>").alias("recommendations"),
+        pick(given, F.col("k"), listed(_RANKED)).alias("ranked_violations"), pick(F.col("own_explanations"), F.col("e"), listed(_EXPLAINED)).alias("explanations"),
+    )
+
+
+def beside(*tables: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    out = tables[0].withColumn("__k", F.lit(0))
+    for other in tables[1:]:
+        out = out.join(other.withColumn("__k", F.lit(0)), "__k")
+    return out.drop("__k")
+
+
+def evaluation(cells: DataFrame, graphs: DataFrame, principles: int = len(vocab.PRINCIPLES)) -> DataFrame:
+    """One row: macro_f1, supervised_cells, score_mae, graph_mae, graphs and f1 by principle.
+
+    cells: principle, predicted, actual (statuses), score and teacher_score of supervised cells; graphs: graph_score and target.
+    """
+    by = f1_by_key(status_counts(cells))
+    per = by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("principle", "f1")))).alias("per_principle_f1"))
+    errors = cells.agg(mean_absolute(F.col("score"), F.coalesce("teacher_score", F.lit(0.0))).alias("score_mae"))
+    whole = graphs.agg(mean_absolute(F.col("graph_score"), F.col("target")).alias("graph_mae"), F.count("*").alias("graphs"))
+    return beside(macro_f1(by, principles), errors, whole, per)
+
+
 def pooled(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """key, dim, mean and max of all vectors of a key."""
     long = vectors.select(key, F.posexplode(column).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW = "wall_id string, ax double, ay double, bx double, by double, height double, thickness double"
@@ -62,6 +62,50 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
+def write_edges_csv(edges: DataFrame, path: str) -> list[str]:
+    """source, target, type and whatever else any edge has, in the order of columns; gives the header."""
+    named = edges.withColumnsRenamed({"src": "source", "dst": "target"})
+    first = ["source", "target", "type"]
+    others = [c for c in named.columns if c not in first]
+    has = named.agg(*(F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(c) for c in others)).first() if others else {}
+    header = first + [c for c in others if has[c]]
+    write_csv(named.select(header), path)
+    return header
+
+
+EDGE = "src string, dst string, type string, distance_m double, angle_diff_deg double, facing_score double, angle_error_deg double, overlap_m2 double, clearance_m double, yaw_diff_deg double, coverage double, score double"
+GRAPH = (
+    "schema_version string, nodes array<struct<id:string,kind:string,label:string,x:double,y:double,z:double,yaw:double,width:double,depth:double,height:double>>, "
+    f"edges array<struct<{', '.join(c.replace(' ', ':') for c in EDGE.split(', '))}>>, zones array<struct<zone_id:string,type:string,anchor_id:string,members:array<string>,x:double,y:double>>, "
+    "principle_checks array<struct<principle:string,target:string,status:string,score:double,evidence:array<string>,against:array<string>>>, summary map<string,string>"
+)
+
+
+def graphs(spark: SparkSession, path: str) -> DataFrame:
+    """room (the file's folder, or room= of its path), source and the fields of the graph documents under a path, one a file or a line."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source"), F.explode(F.split("value", r"\n(?=\{)")).alias("text"))
+    folder = F.url_decode(F.regexp_replace(F.element_at(F.split("source", "/"), -2), "^room=", ""))
+    return files.where(F.trim("text") != "").select(folder.alias("room"), "source", F.from_json("text", GRAPH).alias("g")).select("room", "source", "g.*")
+
+
+def graph_tables(graph_rows: DataFrame) -> dict[str, DataFrame]:
+    """Rows of nodes, edges, zones and checks of graph documents, by room; ord is the place in the list."""
+    def rows(name: str) -> DataFrame:
+        return graph_rows.select("room", F.posexplode(name).alias("pos", "v")).select("room", (F.col("pos") + 1).alias("ord"), "v.*")
+
+    return {name: rows(name) for name in ("nodes", "edges", "zones", "principle_checks")}
+
+
+def safe_stem(name: Column, default: str = "scene") -> Column:
+    """A name for files: runs of anything but ASCII letters, digits, _ and - become one _."""
+    return F.regexp_replace(F.when(F.coalesce(name, F.lit("")) == "", F.lit(default)).otherwise(name), "[^A-Za-z0-9_-]+", "_")
+
+
+def extras_stem(name: Column) -> Column:
+    """The stem of what is made of a prediction's file, without its prefix."""
+    return F.regexp_replace(safe_stem(name, "predict"), "^predict_?", "")
+
+
 def graph_documents(nodes: DataFrame, edges: DataFrame, zones: DataFrame, checks: DataFrame, summary: DataFrame) -> DataFrame:
     """room and the scene graph as a JSON text."""
     def listed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -142,6 +186,20 @@ def transcripts(spark: SparkSession, path: str, name: str = "dm_shorts_*.xlsx")
     return rows.select(stable_doc_id(F.col("url"), F.col("date"), F.col("title"), F.col("row_index")).alias("doc_id"), "year", "date", "title", "transcript_raw", "url", "status", "source_xlsx", "row_index")
 
 
+def ingest_counts(spark: SparkSession, path: str, name: str = "dm_shorts_*.xlsx") -> DataFrame:
+    """One row: files, rows_seen (below the headers) and rows_emitted of the workbooks of a folder."""
+    from ..operators.scoring import beside
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).select("path", "content")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(sheet_rows(c)) for c in batch.column(1).to_pylist()], pa.int64())})
+
+    rows = files.mapInArrow(counted, "rows long").agg(F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_seen"))
+    return beside(rows, transcripts(spark, path, name).agg(F.count("*").alias("rows_emitted")))
+
+
 def resolved_paths(spark: SparkSession, globbed: list[str], manifest: str | None = None) -> DataFrame:
     """Paths of globs, then of a manifest's lines (a path, or JSON with scene_graph or path; relative to it), each once."""
     jvm = spark._jvm.org.apache.hadoop.fs
