@@ -165,18 +165,28 @@ class Index:
         self.answers = [Counter(a) for _, a in parts]
 
     def possible(self, term: np.ndarray, passage: np.ndarray, passages: int) -> np.ndarray:
-        """Whether the coarse maxima of a passage's distinct heavy terms sum up, in any block, to what an item needs."""
+        """Whether the maxima of a passage's distinct heavy terms sum up, in any block, to what an item needs: in large
+        blocks first, and where they do in small ones."""
+        p = self.postings
+        out = self._reaching(term, passage, passages, self.coarse, self.coarse_at, self.coarse_max, self.coarse_blocks)
+        left = np.flatnonzero(out)
+        some = out[passage]
+        number = np.cumsum(out) - 1
+        out[left] = self._reaching(term[some], number[passage[some]], len(left), p.blocks, p.block_at, p.block_max, -(-len(self.items) // self.config.block))
+        return out
+
+    def _reaching(self, term: np.ndarray, passage: np.ndarray, passages: int, blocks: np.ndarray, block_at: np.ndarray, maxima: np.ndarray, n_blocks: int) -> np.ndarray:
         out = np.zeros(passages, bool)
         floor = self.config.threshold - self.light - 1e-4
-        step = max(1, (1 << 20) // max(self.coarse_blocks, 1))  # sums of so many passages at a time, in bounded memory
+        step = max(1, (1 << 20) // max(n_blocks, 1))  # sums of so many passages at a time, in bounded memory
         edges = np.searchsorted(passage, np.arange(0, passages + step, step))
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             t, first = term[lo:hi], k * step
-            n = self.coarse_at[t + 1] - self.coarse_at[t]
-            place = np.repeat(self.coarse_at[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            key = np.repeat(passage[lo:hi] - first, n) * self.coarse_blocks + self.coarse[place]
+            n = block_at[t + 1] - block_at[t]
+            place = np.repeat(block_at[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key = np.repeat((passage[lo:hi] - first) * n_blocks, n) + blocks[place]
             many = min(step, passages - first)
-            sums = np.bincount(key, weights=self.coarse_max[place], minlength=many * self.coarse_blocks)
+            sums = np.bincount(key, weights=maxima[place], minlength=many * n_blocks)
             out[first : first + many] = (sums.reshape(many, -1) >= floor).any(axis=1)
         return out
 
