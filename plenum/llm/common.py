@@ -113,6 +113,28 @@ def salted_join(rows: DataFrame, right: DataFrame, key: str, by: str, many: int
     return own.join(dealt, [key, "__part"]).drop("__part")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def filtered(docs: DataFrame, keep, limit: int = 4 << 20) -> DataFrame:
+    """The rows of docs for which keep(texts), a function on Arrow arrays of texts, is true; no row is moved.
+
+    Columns are numbered meanwhile, as names with dots can't be mapped.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = f"c{names.index('text')}"
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text, limit=limit):
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text)))))
+
+    return numbered.mapInArrow(kept, numbered.schema).toDF(*names)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import filtered, sliced, written
 
 
 @dataclass(frozen=True)
@@ -372,12 +372,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = Le
     """The rows of docs in which no item was found, as they are; no row is moved."""
     for index in indexes(benchmark, config):
 
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, "text", limit=3 << 20):
-                kept = np.ones(batch.num_rows, bool)
-                texts = batch.column(batch.schema.get_field_index("text"))
-                kept[[r[0] for r in find_in_batch(list(range(batch.num_rows)), texts, index.value)]] = False
-                yield batch.filter(pa.array(kept))
+        def clean(texts: pa.Array, index=index) -> np.ndarray:
+            kept = np.ones(len(texts), bool)
+            kept[[r[0] for r in find_in_batch(list(range(len(texts))), texts, index.value)]] = False
+            return kept
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = filtered(docs, clean, limit=3 << 20)
     return docs

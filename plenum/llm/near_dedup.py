@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, joined, mix64, salted_join, shingles, sliced, word_hashes, written
+from .common import columns_of, fits_broadcast, joined, mix64, salted_join, shingles, sliced, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -290,4 +290,4 @@ def drop_near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) ->
     out = those(kept)
     if repeated:
         out = out.dropDuplicates(["doc_id", "__tie"])
-    return out.unionByName(those(null)).select(*docs.columns)
+    return out.unionByName(those(null)).select(*columns_of(docs))

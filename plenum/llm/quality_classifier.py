@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import filtered, sliced
 from .quality_rules import duplicate_lines, repeated_words
 
 STATISTICS = ("words", "word_length", "distinct", "symbols", "shouted", "digits", "marks", "dup_lines", "repeats", "ratio")
@@ -192,11 +192,8 @@ def quality_model(stats: DataFrame, labels: DataFrame, **options) -> Quadratic:
 def keep_quality(docs: DataFrame, model: Quadratic, least: float = 0.5) -> DataFrame:
     """The rows of docs with a score of `least` at least, as they are; no row is moved."""
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def good(texts: pa.Array) -> np.ndarray:
         compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in sliced(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if texts:
-                yield batch.filter(pa.array(model.score(np.array([statistics(t, compress) for t in texts])) >= least))
+        return model.score(np.array([statistics(t, compress) for t in texts.to_pylist()])) >= least
 
-    return docs.mapInArrow(kept, docs.schema)
+    return filtered(docs, good)

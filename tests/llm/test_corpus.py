@@ -420,7 +420,7 @@ def test_leaks_equal_brute_force(spark):
 
 
 def test_leaks_of_a_large_benchmark():
-    """50,000 items: those in the texts are found, with bounded memory."""
+    """50,000 items: those in the texts are found, and the index is sparse."""
     bank = words(9, 60_000, 20_000)
     r = random.Random(2)
     items = [(i, " ".join(r.choices(bank, k=25)) + ". " + " ".join(r.choices(bank, k=4)) + ".") for i in range(50_000)]
