@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erf, otypes=[float])(x)
 
 
 class Var:

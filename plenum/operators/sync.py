@@ -32,7 +32,10 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows as they are now: files are listed and read once, and a later run doesn't find them in a cache."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plenum-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        # a folder of one machine only where Spark runs in a single process
+        own = tempfile.mkdtemp(prefix="plenum-") if context.master.startswith("local") else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plenum-checkpoints"
+        context.setCheckpointDir(found or own)
     return df.checkpoint()
 
 

@@ -47,7 +47,7 @@ STAGES = ("transcripts", "spatial", "graph", "train", "eval", "predict")
 def _scenes(spark: SparkSession, o: Options, detector: Detector | None) -> None:
     """A scene document in a folder of each layout's name."""
     if o.layouts:
-        rows = ly.scan(spark, o.layouts).withColumn("room", F.regexp_replace(F.element_at(F.split("room", "/"), -1), r"\.[^.]*$", ""))
+        rows = ly.scan(spark, o.layouts).withColumn("room", F.regexp_replace(F.url_decode(F.element_at(F.split("room", "/"), -1)), r"\.[^.]*$", ""))
     elif o.clouds and detector:
         texts = [(fs_stem(p), detector(p)) for p in o.clouds]  # one for each cloud that was named
         rows = ly.lines(spark.createDataFrame(texts, "room string, layout string"))
@@ -71,17 +71,17 @@ def _graphs(spark: SparkSession, o: Options) -> DataFrame:
 
 def _learning(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Node vectors, edge vectors, teacher cells and graph scores of the graph documents; and their rooms by name."""
-    graphs = fs.graphs(spark, f"{o.out}/graphs")
+    graphs = sy.settled(fs.graphs(spark, f"{o.out}/graphs"))
     names = graphs.select(F.xxhash64("room").alias("room"), F.col("room").alias("name"))
-    parts = fs.graph_tables(graphs.withColumn("room", F.xxhash64("room")))
+    parts = {k: sy.settled(v) for k, v in fs.graph_tables(graphs.withColumn("room", F.xxhash64("room"))).items() if k != "zones"}
     null = F.lit(None).cast("double")
     kind = F.col("kind")
     nodes = parts["nodes"].withColumn("type", F.when(kind.isin("zone", "room"), kind).otherwise(en.node_type(kind))).withColumns({c: null for c in ("centroid_x", "centroid_y", "area")})
-    vectors = en.node_vectors(nodes)
+    vectors = sy.settled(en.node_vectors(nodes))
     types = vectors.select("room", "id", "node_type")
-    edges = en.edge_vectors(parts["edges"], types, reverse=True)
+    edges = sy.settled(en.edge_vectors(parts["edges"], types, reverse=True))
     taught = en.teacher_rows(parts["principle_checks"], types)
-    return vectors, edges, en.teacher_cells(taught, ["ord"]), en.graph_scores(taught), names
+    return vectors, edges, sy.settled(en.teacher_cells(taught, ["ord"])), sy.settled(en.graph_scores(taught)), names
 
 
 def _importance(spark: SparkSession, o: Options):

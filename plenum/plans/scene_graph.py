@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ..operators import polygons as pg
 from ..operators import relations as rel
 from ..operators import rules as ru
 from ..operators import zones as zo
+from ..operators.sync import settled
 from ..sources import files as fs
 
 NODE = ("room", "id", "kind", "label", "x", "y", "z", "yaw", "width", "depth", "height")
@@ -35,26 +37,30 @@ class SceneGraph:
         return fs.graph_documents(nodes, self.edges, zones, self.checks, self.summary)
 
 
-def scene_graph(entities: DataFrame, walls: DataFrame, config: SceneConfig = SceneConfig()) -> SceneGraph:
-    """entities: boxes of all kinds with ord, z and wall_id; walls: segments.  Rooms are numbers."""
-    entities = g.boxed(entities)
+def scene_graph(entities: DataFrame, walls: DataFrame, config: SceneConfig = SceneConfig(), keep: Callable[[DataFrame], DataFrame] = settled) -> SceneGraph:
+    """entities: boxes of all kinds with ord, z and wall_id; walls: segments.  Rooms are numbers.
+
+    keep: gives a table back that isn't worked out again; by default it is a checkpoint, so that plans stay small.
+    """
+    entities, walls = keep(g.boxed(entities)), keep(walls)
     furniture, fixtures = entities.where("kind IN ('furniture', 'unknown')"), entities.where("kind IN ('door', 'window')")
     furniture = furniture.where("kind = 'furniture'")
-    rooms = pg.room_polygons(walls, entities, config)
-    zones = zo.all_zones(furniture, config)
-    wall_edges = rel.wall_edges(rel.wall_pairs(furniture, walls, config), config)
-    doors = ru.classify_doors(fixtures, walls, rooms, config)
+    rooms = keep(pg.room_polygons(walls, entities, config))
+    zones = keep(zo.all_zones(furniture, config))
+    wall_edges = keep(rel.wall_edges(rel.wall_pairs(furniture, walls, config), config))
+    doors = keep(ru.classify_doors(fixtures, walls, rooms, config))
     entries = doors.where("is_entry")
     focal = zo.focal_points(furniture, fixtures, zones)
-    checks = ru.evaluate(ru.Tables(furniture, fixtures, walls, rooms, zones, wall_edges.where("type = 'has_backing'"), doors, config))
+    checks = keep(ru.evaluate(ru.Tables(furniture, fixtures, walls, rooms, zones, wall_edges.where("type = 'has_backing'"), doors, config)))
     walked = pt.walks(rooms, furniture, entries, zones, config)
-    plain = rel.plain_edges(walked, F.col("src"), F.col("dst"), F.col("type"), distance_m=F.coalesce("length_m", "distance_m"))
+    plain = rel.plain_edges(walked, F.col("src"), F.col("dst"), F.col("type"), distance_m=F.col("distance_m"), length_m=F.col("length_m"))
     edges = None
     for part in (
         rel.inside_edges(entities, rooms), rel.object_edges(rel.pairs(furniture), config), rel.overlap_edges(rel.overlaps(furniture), config), wall_edges, rel.fixture_edges(fixtures, walls),
         zo.member_edges(zones), zo.table_edges(furniture, zones, config), plain, zo.entry_edges(zones, entries), zo.focal_edges(focal), ru.check_edges(checks),
     ):
         edges = part if edges is None else edges.unionByName(part)
+    edges = keep(edges)
     null = F.lit(None).cast("double")
     own = entities.select(*NODE).withColumn("type", en.node_type(F.col("kind"))).withColumns({c: null for c in ("centroid_x", "centroid_y", "area")})
     blank = {c: null for c in ("x", "y", "z", "yaw", "width", "depth", "height")}
@@ -70,7 +76,7 @@ def built(scenes: DataFrame, config: SceneConfig = SceneConfig()) -> DataFrame:
     key = F.xxhash64("room")
     read = scenes.select("room", key.alias("key"), F.from_json("text", fs.SCENE).alias("s"))
     good = read.where("s.entities IS NOT NULL").select(F.col("key").alias("room"), "s.*")
-    entities = fs.scene_entities(good)
+    entities = settled(fs.scene_entities(good))
     documents = scene_graph(entities.drop("raw"), fs.scene_walls(entities), config).documents().withColumnRenamed("room", "key")
     rows = read.select("room", "key").join(documents, "key", "left")
     return rows.select("room", "document", F.when(F.col("document").isNull(), "ValueError: no entities").alias("error"))

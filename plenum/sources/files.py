@@ -73,7 +73,7 @@ def write_edges_csv(edges: DataFrame, path: str) -> list[str]:
     return header
 
 
-EDGE = "src string, dst string, type string, distance_m double, angle_diff_deg double, facing_score double, angle_error_deg double, overlap_m2 double, clearance_m double, yaw_diff_deg double, coverage double, score double"
+EDGE = "src string, dst string, type string, distance_m double, angle_error_deg double, angle_diff_deg double, overlap_m2 double, clearance_m double, yaw_diff_deg double, coverage double, length_m double, score double"
 GRAPH = (
     "schema_version string, nodes array<struct<id:string,kind:string,label:string,x:double,y:double,z:double,yaw:double,width:double,depth:double,height:double>>, "
     f"edges array<struct<{', '.join(c.replace(' ', ':') for c in EDGE.split(', '))}>>, zones array<struct<zone_id:string,type:string,anchor_id:string,members:array<string>,x:double,y:double>>, "

@@ -25,7 +25,7 @@ def test_stages_end_to_end(spark, tmp_path):
     (layouts / "my room.txt").write_text(SAMPLE)
     (layouts / "other.txt").write_text(SAMPLE.replace("bed,1.1,2.0", "bed,2.6,2.3"))
     workbook(books / "dm_shorts_2022.xlsx", [["Video Date", "Video Title", "Video Transcript", "Video URL"], ["d1", "living room", "Move the sofa against the wall so you can see the door. " * 3, "u1"], ["d2", "cats", "They sleep.", "u2"]])
-    options = pl.Options(out, str(books), (), str(layouts), train=tr.TrainConfig(epochs=2, model=md.ModelConfig(hidden=8, heads=2, label_size=4)))
+    options = pl.Options(out, str(books), (), str(layouts), train=tr.TrainConfig(epochs=1, model=md.ModelConfig(hidden=8, heads=2, label_size=4)))
 
     def writer(prompts):
         return prompts.select("room", F.when(F.col("room") == "other", '{"summary": "fine", "recommendations": ["do"]}').otherwise("no answer").alias("answer"))
@@ -42,7 +42,7 @@ def test_stages_end_to_end(spark, tmp_path):
     edges = parts["edges"].where("room = 'my_room'")
     assert {(r.src, r.dst) for r in edges.where("type = 'against_wall'").collect()} == {("bbox_2", "wall_3")}
     assert edges.where("type = 'traffic_path'").count() == 3
-    assert [h.epoch for h in got["history"].orderBy("epoch").collect()] == [1, 2]
+    assert [h.epoch for h in got["history"].orderBy("epoch").collect()] == [1]
     metrics = got["metrics"].first()
     assert 0 <= metrics.macro_f1 <= 1 and metrics.supervised_cells > 0 and metrics.graphs == 2
     extras = {r.room: r for r in got["extras"].collect()}
@@ -70,7 +70,6 @@ def test_transcript_stages_one_by_one(spark, tmp_path):
     assert ts.run(spark, str(books), out, "rules").first().docs_total == 2
     whole = ts.run(spark, str(books), out, "aggregate").first()
     assert (whole.docs_total, whole.on_topic, whole.off_topic) == (2, 1, 1) and whole.docs_by_year.asDict() == {"2020": 1, "2021": 1}
-    assert ts.run(spark, str(books), str(tmp_path / "all")).first() == whole
     with pytest.raises(ValueError):
         ts.run(spark, str(books), out, "other")
 
