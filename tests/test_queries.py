@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from plenum.plans import more  # noqa: F401  registers its queries
 from plenum.plans import queries as q
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
