@@ -436,10 +436,11 @@ def _walks(spark, sf_dir, config: SceneConfig) -> DataFrame:
     return walks(s.rooms, s.furniture, t.doors.where("is_entry"), t.zones, config).select("room", "src", "dst", "type", r("length_m"), "cells", "from_door", r("distance_m"))
 
 
-@query("c9_walkable_cells", f"WITH {q.SCENE}, {GRID} SELECT room, r AS row, c AS col FROM free")
+@query("c9_walkable_cells", f"WITH {q.SCENE}, {GRID} SELECT room, count(*) AS cells, sum(r)::BIGINT AS rows_, sum(c)::BIGINT AS cols, sum(r * c)::BIGINT AS both_ FROM free GROUP BY room")
 def walkable_cells(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return corridors(s.rooms, s.furniture, COARSE).select("room", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    cells = corridors(s.rooms, s.furniture, COARSE)
+    return cells.groupBy("room").agg(F.count("*").alias("cells"), F.sum("row").alias("rows_"), F.sum("col").alias("cols"), F.sum(F.col("row") * F.col("col")).alias("both_"))
 
 
 @query("k1_nearest_cells", f"{_WALK_BASE} SELECT room, id, r AS row, c AS col FROM near")
@@ -455,10 +456,11 @@ def shortest_paths(spark, sf_dir):
     return _walks(spark, sf_dir, COARSE).where("type = 'traffic_path'").select("room", "src", "dst", "length_m", "cells")
 
 
-@query("k3_half_widths", f"WITH {q.SCENE}, {GRID} SELECT room, r AS row, c AS col, w * 0.5::DOUBLE AS half_width_m FROM hw")
+@query("k3_half_widths", f"WITH {q.SCENE}, {GRID} SELECT room, r AS row, w * 0.5::DOUBLE AS half_width_m, count(*) AS cells, sum(c)::BIGINT AS cols FROM hw GROUP BY room, r, w")
 def corridor_half_widths(spark, sf_dir):
     s = Scene(spark, sf_dir)
-    return corridors(s.rooms, s.furniture, COARSE).select("room", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "half_width_m")
+    cells = corridors(s.rooms, s.furniture, COARSE)
+    return cells.groupBy("room", F.col("row").cast("long").alias("row"), "half_width_m").agg(F.count("*").alias("cells"), F.sum("col").alias("cols"))
 
 
 @query("d17_path_blockers", f"{_WALK_BASE}, {WAYS}, {TRACKS} SELECT room, src, dst, from_door, distance_m FROM ({_BLOCKED})")
