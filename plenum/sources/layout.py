@@ -100,7 +100,11 @@ def scene_documents(parsed_rows: DataFrame) -> DataFrame:
     from ..operators.relations import bounds
 
     rows = entities(parsed_rows)
-    lists = rows.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "kind", "label", "x", "y", "z", F.col("yaw").alias("yaw_rad"), "width", "depth", "height", F.lit(False).alias("confirmed"), F.degrees("yaw").alias("yaw_deg"), "wall_id"))).alias("entities"))
+    ends = walls(parsed_rows).select("room", "id", *(F.col(c).alias(f"w_{c}") for c in ("ax", "ay", "bx", "by", "height", "thickness")))
+    rows = rows.join(ends, ["room", "id"], "left")
+    raw = F.struct("wall_id", *(F.col(f"w_{c}").alias(c) for c in ("ax", "ay", "bx", "by", "height", "thickness")))
+    rows = rows.withColumn("raw", F.when((F.col("kind") == "wall") | F.col("wall_id").isNotNull(), raw))
+    lists = rows.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "kind", "label", "x", "y", "z", F.col("yaw").alias("yaw_rad"), "width", "depth", "height", F.lit(False).alias("confirmed"), F.degrees("yaw").alias("yaw_deg"), "wall_id", "raw"))).alias("entities"))
     bad = skipped(parsed_rows).groupBy("room").agg(F.sort_array(F.collect_list(F.struct("line_number", "line", "reason"))).alias("skipped_lines"))
     box = bounds(rows).select("room", F.struct("min_x", "max_x", "min_y", "max_y").alias("bounds"))
     rooms = parsed_rows.select("room").distinct()
