@@ -48,9 +48,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def english_ratio(text: Column) -> Column:
-    words = word_tokens(text)
-    hits = F.size(F.filter(words, lambda w: w.isin(*vocab.COMMON_ENGLISH)))
-    return F.when(F.size(words) == 0, 0.0).otherwise(hits / F.size(words))
+    hits = lambda words: F.size(F.filter(words, lambda w: w.isin(*vocab.COMMON_ENGLISH)))
+    return let(word_tokens(text), lambda words: F.when(F.size(words) == 0, 0.0).otherwise(hits(words) / F.size(words)))
 
 
 def stable_id(url: Column, date: Column, title: Column, row_index: Column) -> Column:
