@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tape as t
 from ..functions import vocab
+from ..functions.geometry import keyed
 
 FORWARD = (("object", "spatial", "object"), ("object", "to_wall", "wall"), ("door", "aperture_wall", "wall"), ("window", "aperture_wall", "wall"), ("object", "to_room", "room"), ("door", "to_room", "room"), ("window", "to_room", "room"), ("object", "to_zone", "zone"), ("door", "door_to_zone", "zone"), ("door", "entry_path", "object"))
 RELATIONS = FORWARD + tuple((to, f"rev_{r}", of) for of, r, to in FORWARD)
@@ -118,7 +119,7 @@ def room_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """room, nodes and edges (lists): one row for each room."""
     n = nodes.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("id", "node_type", "label_ix", "features"))).alias("nodes"))
     e = edges.groupBy("room").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "src_type", "relation", "dst_type", "features"))).alias("edges"))
-    return n.join(e, "room", "left")
+    return n.join(keyed(e), "room", "left")
 
 
 def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -168,6 +169,6 @@ def losses(cells: DataFrame, graphs: DataFrame, config: ModelConfig = ModelConfi
     entropy = -F.log(F.get(softmax(F.col("logits")), F.col("status_ix"))) * F.col("weight")
     by_type = cells.groupBy("room", "node_type").agg(F.avg(entropy).alias("ce"), F.avg(smooth_l1(expected_score(F.col("logits")), F.coalesce("score", F.lit(0.0)))).alias("l1"))
     parts = by_type.groupBy("room").agg(F.sum("ce").alias("status_loss"), F.sum("l1").alias("score_loss"))
-    rows = graphs.join(parts, "room", "left").withColumn("graph_loss", smooth_l1(F.col("graph_score"), F.col("target")))
+    rows = graphs.join(keyed(parts), "room", "left").withColumn("graph_loss", smooth_l1(F.col("graph_score"), F.col("target")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return rows.select("room", "status_loss", "score_loss", "graph_loss", (zero("status_loss") + config.lambda_score * zero("score_loss") + config.lambda_graph * zero("graph_loss")).alias("total"))
