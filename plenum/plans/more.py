@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +12,11 @@ from ..operators import viewer as vw
 from ..sources import files as fs
 from ..sources import layout as ly
 from . import sql as q
-from .derived import Scene, table
+from .derived import Scene, folder, table
 from .queries import OBJECT_EDGES, PAIR, QUERIES, _object_edges, query, r  # noqa: F401
 from .scene_graph import NODE
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local")
-    base = found or (tempfile.mkdtemp(prefix="plenum-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plenum-files")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
