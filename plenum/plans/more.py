@@ -70,7 +70,7 @@ def graph_scan(spark, sf_dir):
     checks = spark.createDataFrame([], "room long, principle string, target string, status string, score double, evidence array<string>, against array<string>, rule_order int")
     summary = nodes.groupBy("room").agg(F.count("*").cast("string").alias("n_objects"))
     path = folder(spark)
-    fs.graph_documents(nodes, _object_edges(spark, sf_dir), zones, checks, summary).select(F.to_json(F.struct("room", "document")).alias("value")).write.text(path)
+    fs.graph_documents(nodes, _object_edges(spark, sf_dir), zones, checks, summary).select(F.to_json(F.struct("room", "document")).alias("value")).write.option("compression", "gzip").text(path)
     rows = spark.read.schema("room long, document string").json(path).select("room", F.from_json("document", fs.GRAPH).alias("g")).select("room", "g.*")
     return fs.graph_tables(rows)["edges"].groupBy("room", "type").agg(F.count("*").alias("n"))
 
