@@ -250,3 +250,21 @@ def test_dense(scene):
     rows = {(r.s_id, r.t_id): r for r in pg.dense_relations(rel.pairs(t.furniture), t.walls, t.furniture).collect()}
     assert len(rows) == 6 and all(abs(r.distance_m - rows[b, a].distance_m) < 1e-9 for (a, b), r in rows.items())
     assert rows["bbox_0", "bbox_2"].path_blocking_score > 0 and all(r.line_of_sight == 1 for r in rows.values())
+
+
+def test_grid_of_an_open_outline(monkeypatch):
+    """Where corners of an upright outline are open, a grid is had without the crossings of boxes, and is the same."""
+    import random
+
+    from plenum.operators import paths as pt
+
+    rand, ring = random.Random(5), [(0.0, 0.0), (6.0, 0.0), (6.0, 4.0), (0.0, 4.0)]
+    box = lambda: {"x": rand.uniform(0, 6), "y": rand.uniform(0, 4), "width": rand.uniform(0.3, 5), "depth": rand.uniform(0.3, 2), "yaw": rand.uniform(0, 6.3)}
+    rooms = [[box() for _ in range(k % 6)] for k in range(200)]
+    short = [pt._open_bounds(ring, r) is not None for r in rooms]
+    assert any(short) and not all(short)
+    grids = [pt.Grid(ring, r, 0.25) for r in rooms]
+    monkeypatch.setattr(pt, "_open_bounds", lambda *_: None)
+    for grid, r in zip(grids, rooms, strict=True):
+        full = pt.Grid(ring, r, 0.25)
+        assert (grid.x0, grid.y0, grid.corner_left) == (full.x0, full.y0, full.corner_left) and (grid.grid == full.grid).all()
