@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from plenum.functions.vocab import DEFAULT_CATEGORIES
 from plenum.plans import more  # noqa: F401  registers its queries
 from plenum.plans import queries as q
 
@@ -38,7 +39,7 @@ def crowded(spark, sf, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["g1_components", "f5_participates_in", "f6_entry_path", "i9_light_window_proximity"])
+@pytest.mark.parametrize("name", ["g1_components", "g4_seating_zones", "f5_participates_in", "f6_entry_path", "i9_light_window_proximity"])
 def test_zones_of_crowded_rooms(spark, crowded, name):
     folder, con = crowded
     df = q.QUERIES[name](spark, folder)
@@ -47,6 +48,19 @@ def test_zones_of_crowded_rooms(spark, crowded, name):
     assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(cursor.fetchall())
 
 
+def test_half_digits_of_centres(spark, tmp_path):
+    """Means of eight places often end on half of the sixth digit: 200 rooms with eight sofas each."""
+    con = duckdb.connect()
+    sofa = DEFAULT_CATEGORIES.index("sofa")
+    con.execute(f"COPY (SELECT i // 8 AS l_orderkey, ({sofa} + 24 * 59)::BIGINT AS l_partkey, (hash(i) % 15)::BIGINT AS l_suppkey, (i % 8)::INT AS l_linenumber, 5.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, TIMESTAMP '2000-01-01' AS l_shipdate FROM range(1600) AS r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    cursor = con.execute(q.ORACLE_SQL["g4_seating_zones"])
+    columns = [c[0] for c in cursor.description]
+    want = sorted(cursor.fetchall())
+    assert len(want) == 200 and {row[columns.index("size")] for row in want} == {8}
+    assert sorted(tuple(r) for r in q.QUERIES["g4_seating_zones"](spark, str(tmp_path)).select(*columns).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
