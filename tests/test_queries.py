@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from plenum.functions.vocab import DEFAULT_CATEGORIES
+from plenum.operators import polygons as pg
 from plenum.plans import more  # noqa: F401  registers its queries
 from plenum.plans import queries as q
 
@@ -61,6 +62,18 @@ def test_half_digits_of_centres(spark, tmp_path):
     assert sorted(tuple(r) for r in q.QUERIES["g4_seating_zones"](spark, str(tmp_path)).select(*columns).collect()) == want
 
 
+def test_path_blocking_by_room(spark, sf, monkeypatch):
+    """Pairs and third pieces are laid out in a room's row, not joined; the parts that they are laid out in change nothing."""
+    rows = pg.path_blocking(q.Scene(spark, sf).furniture)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted(tuple(r) for r in rows.collect())
+    monkeypatch.setattr(pg, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(pg, "TRIPLES_AT_ONCE", 5)
+    parts = sorted(tuple(r) for r in pg.path_blocking(q.Scene(spark, sf).furniture.where("room < 300")).collect())
+    assert parts and [r[:3] for r in parts] == [r[:3] for r in whole if r[0] < 300]
+    assert [r[3] for r in parts] == pytest.approx([r[3] for r in whole if r[0] < 300], abs=1e-12)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
