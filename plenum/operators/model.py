@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def attend(source: np.ndarray, target: np.ndarray, src: np.ndarray, dst: np.ndar
     return _attended(t.Var(source), t.Var(target), src, dst, features, {k: t.Var(v) for k, v in w.items()}, name, heads).value
 
 
-def forward(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], w: dict[str, t.Var], config: ModelConfig = ModelConfig()) -> tuple[dict[str, t.Var], t.Var | None]:
-    """nodes: features and labels by type; edges: sources, targets, features by relation.  Logits by head type, and the graph's logit."""
+def node_states(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], w: dict[str, t.Var], config: ModelConfig = ModelConfig()) -> dict[str, t.Var]:
+    """What all layers make of the nodes, by type.  Graphs that no edge connects don't change each other."""
     x = {k: t.normed(t.gelu(t.joined([t.Var(f), w["labels"].rows(labels)], axis=1) @ w[f"in.{k}.w"] + w[f"in.{k}.b"]), w[f"in.{k}.scale"], w[f"in.{k}.shift"]) for k, (f, labels) in nodes.items()}
     for layer in range(config.layers):
         got: dict[str, t.Var] = {}
@@ -92,12 +93,24 @@ def forward(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[s
                 part = _attended(x[rel[0]], x[rel[2]], *edges[rel], w, f"{layer}.{'.'.join(rel)}", config.heads)
                 got[rel[2]] = got[rel[2]] + part if rel[2] in got else part
         x = {k: t.normed(v + t.gelu(got[k]) if k in got else v, w[f"{layer}.norm.{k}.scale"], w[f"{layer}.norm.{k}.shift"]) for k, v in x.items()}
-    logits = {k: (x[k] @ w[f"head.{k}.w"] + w[f"head.{k}.b"]).reshaped(len(x[k].value), len(vocab.PRINCIPLES), len(vocab.STATUSES)) for k in vocab.HEAD_TYPES if k in x}
+    return x
+
+
+def _logits(x: dict[str, t.Var], w: dict[str, t.Var]) -> dict[str, t.Var]:
+    return {k: (x[k] @ w[f"head.{k}.w"] + w[f"head.{k}.b"]).reshaped(len(x[k].value), len(vocab.PRINCIPLES), len(vocab.STATUSES)) for k in vocab.HEAD_TYPES if k in x}
+
+
+def _scored(pooled: t.Var, w: dict[str, t.Var]) -> t.Var:
+    return t.gelu(pooled @ w["score.0.w"] + w["score.0.b"]) @ w["score.1.w"] + w["score.1.b"]
+
+
+def forward(nodes: dict[str, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray, np.ndarray]], w: dict[str, t.Var], config: ModelConfig = ModelConfig()) -> tuple[dict[str, t.Var], t.Var | None]:
+    """nodes: features and labels by type; edges: sources, targets, features by relation.  Logits by head type, and the graph's logit."""
+    x = node_states(nodes, edges, w, config)
     present = [x[k] for k in vocab.NODE_TYPES if k in x]
     if not present:
-        return logits, None
-    pooled = t.mean_and_max(t.joined(present, axis=0))
-    return logits, t.gelu(pooled @ w["score.0.w"] + w["score.0.b"]) @ w["score.1.w"] + w["score.1.b"]
+        return _logits(x, w), None
+    return _logits(x, w), _scored(t.mean_and_max(t.joined(present, axis=0)), w)
 
 
 def _tensors(room: dict) -> tuple[dict, dict, dict[str, list], dict[str, int]]:
@@ -122,33 +135,94 @@ def room_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(keyed(e), "room", "left")
 
 
-def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], config: ModelConfig = ModelConfig()) -> DataFrame:
+#: nodes and edges of the rooms that predictions() works out at once
+ROWS_AT_ONCE = 10000
+
+
+def _codes(column: pa.Array, names: tuple[str, ...]) -> np.ndarray:
+    """The place of each name, -1 for any other."""
+    return pc.fill_null(pc.index_in(column, pa.array(names)), -1).to_numpy(zero_copy_only=False)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Of rows with lists of structs: the row of every struct, and the fields."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+
+
+def _vectors(column: pa.ListArray, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _predicted(batch: pa.RecordBatch, w: dict[str, t.Var], config: ModelConfig, reverse: bool) -> Iterator[list[pa.Array]]:
+    """Columns of the predictions for some rooms, all as one graph; the rooms' scores are pooled apart."""
+    of, nodes = _lists(batch.column("nodes"))
+    kind, labels, features = _codes(nodes["node_type"], vocab.NODE_TYPES), nodes["label_ix"].to_numpy(zero_copy_only=False), _vectors(nodes["features"], NODE_SIZE)
+    at = [np.flatnonzero(kind == k) for k in range(len(vocab.NODE_TYPES))]
+    place = np.zeros(len(kind), np.int64)
+    for own in at:
+        place[own] = np.arange(len(own))
+    links = {}
+    of_edge, edges = _lists(batch.column("edges"))
+    if len(of_edge):
+        names = pa.concat_arrays([nodes["id"], edges["src"], edges["dst"]]).dictionary_encode()
+        code, kinds = names.indices.to_numpy(), len(vocab.NODE_TYPES) + 1
+        node_key, src_code, dst_code = np.split(code.astype(np.int64), [len(of), len(of) + len(of_edge)])
+        key = lambda room, name, k: (room * len(names.dictionary) + name) * kinds + k + 1
+        keys = key(of, node_key, kind)
+        order = np.argsort(keys, kind="stable")
+        types = [_codes(edges[c], vocab.NODE_TYPES) for c in ("src_type", "dst_type")]
+        src, dst = (place[order[np.searchsorted(keys[order], key(of_edge, name, k), "right") - 1]] for name, k in zip((src_code, dst_code), types, strict=True))
+        relation, numbers = _codes(edges["relation"], tuple(r for _, r, _ in RELATIONS)), _vectors(edges["features"], EDGE_SIZE)
+        known = [r for _, r, _ in RELATIONS]
+        for rel in RELATIONS:
+            mine = np.flatnonzero((relation == known.index(rel[1])) & (types[0] == vocab.NODE_TYPES.index(rel[0])) & (types[1] == vocab.NODE_TYPES.index(rel[2])))
+            if len(mine):
+                links[rel] = src[mine], dst[mine], numbers[mine]
+                if reverse:
+                    links[rel[2], f"rev_{rel[1]}", rel[0]] = dst[mine], src[mine], numbers[mine]
+    states = node_states({vocab.NODE_TYPES[k]: (features[own], labels[own]) for k, own in enumerate(at) if len(own)}, links, w, config)
+    total, most, count = np.zeros((batch.num_rows, config.hidden)), np.full((batch.num_rows, config.hidden), -np.inf), np.bincount(of, minlength=batch.num_rows)
+    for k, own in enumerate(at):
+        if len(own):
+            value = states[vocab.NODE_TYPES[k]].value
+            np.add.at(total, of[own], value)
+            np.maximum.at(most, of[own], value)
+    graph = 1 / (1 + np.exp(-_scored(t.Var(np.concatenate([total / count[:, None], most], axis=1)), w).value[:, 0]))
+    for name, logits in _logits(states, w).items():
+        own = at[vocab.NODE_TYPES.index(name)]
+        for p, principle in enumerate(vocab.PRINCIPLES):
+            if principle in vocab.APPLICABLE[name]:
+                rows = logits.value[:, p]
+                share = np.exp(rows - rows.max(axis=1, keepdims=True))
+                share /= share.sum(axis=1, keepdims=True)
+                status = pa.DictionaryArray.from_arrays(pa.array(share.argmax(axis=1).astype(np.int32)), pa.array(vocab.STATUSES)).cast(pa.string())
+                score = [round(v, 4) for v in (share @ np.array(vocab.STATUS_SCORES)).tolist()]
+                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * rows.shape[1])
+                yield [batch.column("room").take(pa.array(of[own])), nodes["id"].take(pa.array(own)), pa.array([principle] * len(own)), status, pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel())), pa.array(graph[of[own]])]
+
+
+def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], config: ModelConfig = ModelConfig(), reverse: bool = False) -> DataFrame:
     """room, target, principle, status, score, logits and the room's graph_score.
 
-    nodes and edges as encoding.node_vectors() and edge_vectors(reverse=True) give them.
+    nodes and edges as encoding.node_vectors() and edge_vectors(reverse=True) give them; with reverse=True here, edges have
+    one way only, and the other is added where they are read.  Many rooms are worked out as one graph.
     """
-    rows = room_graphs(nodes, edges)
+    rows = room_graphs(nodes, edges).select("room", "nodes", "edges")
     schema = "room long, target string, principle string, status string, score double, logits array<double>, graph_score double"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: t.Var(v) for k, v in weights.items()}
         for batch in batches:
-            out = []
-            for room in batch.to_pylist():
-                vectors, links, by_type, _ = _tensors(room)
-                logits, graph = forward(vectors, links, held, config)
-                score = 1 / (1 + math.exp(-graph.value.item()))
-                for kind in vocab.HEAD_TYPES:
-                    for k, node in enumerate(by_type.get(kind, ())):
-                        for p, principle in enumerate(vocab.PRINCIPLES):
-                            if principle in vocab.APPLICABLE[kind]:
-                                row = logits[kind].value[k, p]
-                                share = np.exp(row - row.max())
-                                share /= share.sum()
-                                out.append((room["room"], node["id"], principle, vocab.STATUSES[int(share.argmax())], round(float(share @ np.array(vocab.STATUS_SCORES)), 4), row.tolist(), score))
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.float64()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=of) for c, of in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+            sizes = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("nodes", "edges"))
+            ends, start = np.cumsum(sizes), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ROWS_AT_ONCE + (ends[start - 1] if start else 0), "right")))
+                for columns in _predicted(batch.slice(start, stop - start), held, config, reverse):
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                start = stop
 
     return rows.mapInArrow(predicted, schema)
 

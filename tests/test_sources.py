@@ -153,6 +153,33 @@ def test_model(spark):
     assert loss.status_loss == pytest.approx(want) and loss.total > 0
 
 
+@pytest.mark.parametrize("at_once", [1, 12, 10000])
+def test_rooms_are_predicted_together(spark, monkeypatch, at_once):
+    """Rooms worked out as one graph give what each gives by itself, reversed edges added where they are read."""
+    monkeypatch.setattr(md, "ROWS_AT_ONCE", at_once)
+    r = np.random.default_rng(5)
+    kinds = {"a": "object", "b": "object", "c": "object", "w": "wall", "d": "door", "room_0": "room"}
+    nodes = [(room, n, k, int(r.integers(5)), r.normal(size=md.NODE_SIZE).tolist()) for room in range(9) for n, k in kinds.items() if not (room == 3 and n != "b")]
+    ways = [("a", "spatial", "b"), ("b", "spatial", "c"), ("c", "spatial", "a"), ("a", "to_wall", "w"), ("d", "aperture_wall", "w"), ("c", "to_room", "room_0")]
+    edges = [(room, s, o, kinds[s], way, kinds[o], r.normal(size=md.EDGE_SIZE).tolist()) for room in range(9) if room not in (3, 4) for s, way, o in ways if r.random() < 0.8]
+    frames = (spark.createDataFrame(nodes, "room long, id string, node_type string, label_ix int, features array<double>"), spark.createDataFrame(edges, "room long, src string, dst string, src_type string, relation string, dst_type string, features array<double>"))
+    weights = md.init_weights(seed=2)
+    got = {(p.room, p.target, p.principle): p for p in md.predictions(*frames, weights, reverse=True).collect()}
+    held, n = {k: md.t.Var(v) for k, v in weights.items()}, 0
+    for room in md.room_graphs(*frames).collect():
+        one = room.asDict(recursive=True)
+        one["edges"] = [e for e in one["edges"] or ()]
+        one["edges"] += [e | {"src": e["dst"], "dst": e["src"], "src_type": e["dst_type"], "dst_type": e["src_type"], "relation": f"rev_{e['relation']}"} for e in one["edges"]]
+        vectors, links, by_type, _ = md._tensors(one)
+        logits, graph = md.forward(vectors, links, held)
+        for kind in logits:
+            for k, node in enumerate(by_type[kind]):
+                for p in vocab.APPLICABLE[kind]:
+                    row, n = got[one["room"], node["id"], p], n + 1
+                    assert np.allclose(row.logits, logits[kind].value[k, vocab.PRINCIPLES.index(p)]) and row.graph_score == pytest.approx(1 / (1 + np.exp(-graph.value.item())))
+    assert n == len(got)
+
+
 def test_attention_is_a_mean():
     w = {k: v for k, v in md.init_weights(seed=1).items() if k.startswith("0.object.spatial.object")}
     x = np.ones((3, 32))
