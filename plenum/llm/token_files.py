@@ -15,8 +15,13 @@ Spark's own committer writes the files, so a task that is run again never leaves
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import batched, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,14 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 60) - 1
 SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
+#: Byte-level BPE's own split (fixed), for characters that every version of Unicode takes for the same; a line feed stands between words.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"!-/:-@\[-`{-~"
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n")
+UNSURE = re.compile(rf"[^{LETTERS}0-9{MARKS} \n]")
+#: The characters that byte-level BPE has for the bytes (fixed): printing ones stay, others follow from 256 on; the line feed, which no piece has, stays here.
+PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = "".join("\n" if b == 10 else chr(b if b in PRINTING else 256 + b - sum(p < b for p in PRINTING)) for b in range(256))
+
 BLOCK = "shard int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, word_at array<long>, words binary, escapes binary"
 
 
@@ -52,7 +65,8 @@ def pack(values: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndar
     else:
         bits, escaped = np.frexp(values.astype(np.float64))[1].astype(np.uint8), values >= np.uint64(ESCAPE)
         bits[values >= np.uint64(1 << 53)] = 60
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    # no selector asks for more than 240
+    left = np.minimum(np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), 255).astype(np.uint8)
     choice = np.full(n, 15, np.uint8)
     span, reach = bits, 1  # span[i]: most bits in values[i : i + reach]
     for s in range(14, -1, -1):
@@ -63,15 +77,14 @@ def pack(values: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndar
             step = min(reach, count - reach)
             span = np.maximum(span[: len(span) - step], span[step:])
             reach += step
-        fits = (span <= WIDTHS[s]) & (left[: len(span)] >= count)
-        choice[: len(fits)][fits] = s
+        fits = (span <= np.uint8(WIDTHS[s])) & (left[: len(span)] >= np.uint8(count))
+        np.minimum(choice[: len(fits)], np.where(fits, np.uint8(s), np.uint8(15)), out=choice[: len(fits)])
         if s < 10 and span.min() > WIDTHS[s]:  # narrower selectors ask for more ids of fewer bits
             break
-    follow = (np.arange(n) + COUNTS[choice]).tolist()
-    starts, i = [], 0
+    steps, starts, i = COUNTS.astype(np.uint8)[choice].tobytes(), [], 0
     while i < n:
         starts.append(i)
-        i = follow[i]
+        i += steps[i]
     starts = np.array(starts)
     chosen = choice[starts]
     words = chosen.astype(np.uint64)
@@ -101,58 +114,121 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Words(dict):
-    """Slots of words; a slot is a part of a pool of ids.  When it holds too many words it forgets them all."""
+class _Kept(dict):
+    """Slots of strings; a slot is a part of a pool of ids.  When it holds too many, the half that most batches asked for stays."""
 
-    def __init__(self, encoder: WordEncoder, before: str, keep: int):
+    def __init__(self, keep: int):
         super().__init__()
-        self.encoder, self.before, self.keep = encoder, before, keep
-        self.forget()
+        self.keep = keep
+        # slot 0: strings without ids of their own
+        self.start, self.size, self.uses, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def slots(self, strings: list[str]) -> np.ndarray:
+        if len(self) > self.keep:
+            self.trim()
+        out = np.fromiter(map(self.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = list(dict.fromkeys([strings[i] for i in missing.tolist()]))
+            self.learn(new)
+            out[missing] = np.fromiter(map(self.__getitem__, [strings[i] for i in missing.tolist()]), np.int64, len(missing))
+        self.uses[out] += 1
+        return out
 
-    def forget(self) -> None:
+    def learn(self, strings: list[str]) -> None:
+        raise NotImplementedError
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.start)
+        self.update(zip(strings, range(n, n + len(strings)), strict=True))
+        self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.size, self.pool = np.append(self.size, sizes), np.append(self.pool, ids)
+        self.uses = np.append(self.uses, np.zeros(len(strings), np.int64))
+
+    def trim(self) -> None:
+        most = np.argsort(-self.uses[1:], kind="stable")[: self.keep // 2] + 1
+        stays = np.zeros(len(self.start), bool)
+        stays[most] = True
+        slot = np.cumsum(stays) * stays
+        moved = slot[np.fromiter(self.values(), np.int64, len(self))]
+        left = list(compress(self, moved.tolist()))
         self.clear()
-        # slot 0: words with other white space or an added token, whose texts are encoded whole
-        self.start, self.size, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.update(zip(left, moved[moved > 0].tolist(), strict=True))
+        stays[0] = True
+        size = self.size[stays]
+        self.pool = self.pool[np.repeat(self.start[stays] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, self.uses[stays] // 2
 
-    def slots(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.keep:
-            self.forget()
-        out = list(map(self.get, words))
-        missing = [w for w, v in zip(words, out, strict=True) if v is None]
-        if missing:
-            self.learn(missing)
-            out = list(map(self.__getitem__, words))
-        return np.array(out, np.int64)
+
+class _Pieces(_Kept):
+    """Ids of pre-tokens, from the library's model."""
+
+    def __init__(self, model, keep: int):
+        super().__init__(keep)
+        self.model = model
+        self["\n"] = 0
+
+    def trim(self) -> None:
+        super().trim()
+        self["\n"] = 0
+
+    def learn(self, pieces: list[str]) -> None:
+        shown = codecs.charmap_decode("\n".join(pieces).encode(), "strict", BYTE_CHARS)[0].split("\n")
+        ids, sizes = array("I"), array("q")
+        for some in batched(shown, 1024):
+            found = list(map(self.model.tokenize, some))
+            ids.extend([t.id for tokens in found for t in tokens])
+            sizes.extend(map(len, found))
+        self.add(pieces, np.array(ids, np.uint32), np.array(sizes, np.int64))
+
+
+class _Words(_Kept):
+    """Ids of words, each after a space or each after a line feed.  Those in slot 0 have other white space or an added token."""
+
+    def __init__(self, encoder: WordEncoder, before: str, keep: int):
+        super().__init__(keep)
+        self.encoder, self.before = encoder, before
 
     def learn(self, words: list[str]) -> None:
-        """Encodes many words in one text: the ids of each begin at an id that only a separator gives."""
+        e = self.encoder
+        joined = " ".join(words)
+        if len(joined.split()) != len(words) or e.has_added(joined):
+            strange = {w for w in words if w.split() != [w] or e.has_added(w)}
+            self.update(dict.fromkeys(strange, 0))
+            words = [w for w in words if w not in strange]
+        if e.pieces is None:
+            unsure = words
+        elif UNSURE.search(joined):
+            unsure = [w for w in words if UNSURE.search(w)]
+            words = [w for w in words if not UNSURE.search(w)]
+        else:
+            unsure = []
+        if e.pieces is not None and words:
+            self.add(words, *self.by_pieces(words))
+        for at in range(0, len(unsure), 512):
+            some = unsure[at : at + 512]
+            self.add(some, *self.in_one_text(some))
+
+    def by_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has."""
+        kept = self.encoder.pieces
+        pieces = SPLIT.findall(self.before + self.before.join(words))
+        slots = kept.slots(pieces)
+        sizes = kept.size[slots]
+        ids = kept.pool[np.repeat(kept.start[slots] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        begin = np.flatnonzero(np.fromiter(map(str.startswith, pieces, repeat(self.before)), bool, len(pieces)))
+        return ids, np.add.reduceat(sizes, begin)
+
+    def in_one_text(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same: the ids of each word begin at an id that only a separator gives."""
         e, space = self.encoder, self.before == " "
-        starts, sizes, pools, used = [], [], [], len(self.pool)
-        n = len(self.start)
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            joined = " ".join(some)
-            if len(joined.split()) != len(some) or e.has_added(joined):
-                strange = {w for w in some if w.split() != [w] or e.has_added(w)}
-                self.update(dict.fromkeys(strange, 0))
-                some = [w for w in some if w not in strange]
-                if not some:
-                    continue
-            ids = e.raw([self.before + self.before.join(some)])[0]
-            begin = np.flatnonzero(e.spaced[ids] if space else ids == e.line_feed)
-            if len(begin) == len(some):
-                ends = np.append(begin[1:], len(ids))
-                begin = begin if space else begin + 1
-            else:
-                own = e.raw([" " + w if space else w for w in some])
-                ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
-                begin = ends - [len(x) for x in own]
-            self.update(zip(some, range(n, n + len(some)), strict=True))
-            starts.append(begin + used)
-            sizes.append(ends - begin)
-            pools.append(ids)
-            n, used = n + len(some), used + len(ids)
-        self.start, self.size, self.pool = np.concatenate([self.start, *starts]), np.concatenate([self.size, *sizes]), np.concatenate([self.pool, *pools])
+        ids = e.raw([self.before + self.before.join(words)])[0]
+        begin = np.flatnonzero(e.spaced[ids] if space else ids == e.line_feed)
+        if len(begin) == len(words):
+            counts = np.diff(np.append(begin, len(ids)))
+            return (ids, counts) if space else (np.delete(ids, begin), counts - 1)
+        own = e.raw([" " + w if space else w for w in words])
+        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
 
 
 class WordEncoder:
@@ -172,8 +248,18 @@ class WordEncoder:
         self.only_whole = any(t.split() != [t] for t in self.added) or self.tokenizer.normalizer is not None
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.line_feed = int(self.raw(["\n"])[0][0])
+        self.pieces = _Pieces(self.tokenizer.model, keep) if self.splits_plainly() else None
         self.inner, self.first = _Words(self, " ", keep), _Words(self, "\n", keep // 6)
 
+    def splits_plainly(self) -> bool:
+        """Whether the tokenizer is a BPE without chance, of pieces split as by SPLIT."""
+        from tokenizers.models import BPE
+
+        if not isinstance(self.tokenizer.model, BPE) or self.tokenizer.model.dropout or self.tokenizer.pre_tokenizer is None:
+            return False
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        return split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+
     def has_added(self, words: str) -> bool:
         return any(t in words for t in self.added)
 
@@ -192,7 +278,7 @@ class WordEncoder:
         bounds = np.asarray(lists.offsets, np.int64)
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        codes, table = np.asarray(words.indices, np.int64), words.dictionary.to_pylist()
+        codes, table = np.asarray(words.indices, np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         feed = table.index("\n") if "\n" in table else -1
         # a word that begins a text or a line has no space before it
         first = np.zeros(len(codes), bool)

@@ -55,6 +55,25 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in encoder(pa.array(texts), 0)] == library_ids(texts)
 
 
+def test_encoder_asks_the_model_for_a_piece_once():
+    encoder, plain = tf.WordEncoder(queries.tokenizer_path()), words(5, 3000)
+    encoder(pa.array([" ".join(plain)]), 0)
+    asked, texts = len(encoder.pieces), [" ".join(w + m for w in plain) for m in (",", "!?", "\n")]
+    got = encoder(pa.array(texts), 0)
+    assert [g[:-1].tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # the marks, and words that a line feed precedes
+    assert len(encoder.pieces) <= 2 * asked + 2
+
+
+def test_encoder_with_few_words_kept():
+    encoder, r = tf.WordEncoder(queries.tokenizer_path(), keep=40), random.Random(8)
+    odd = ["'s", "it's", "'Tis", "don't,", "a1b2", "...", "x²", "ª", "naïve", "ſ", "ﬁn", "日本", "e\u0301", "\u00ad", "Ωm", "a\x1cb", "\x00", "_a_", "¿qué?", "<|endoftext|>", "l'œuvre", "’s", "٣", "ΐ", "I'LL", "a\u200bb", "'", "''s"]
+    for _ in range(40):
+        texts = ["".join(r.choice(odd + words(r.randrange(99), 5)) + r.choice([" ", " ", "\n", ""]) for _ in range(r.randrange(30))) for _ in range(8)]
+        got = encoder(pa.array(texts), 0)
+        assert [g[:-1].tolist() for g in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, sf):
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     rows = sorted(queries.op2_token_files(spark, sf).collect(), key=lambda r: r.doc_id)
