@@ -16,9 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SceneConfig
 from ..functions import tape as t
 from ..functions import vocab
 from ..functions.geometry import keyed
+from . import room_edges as re
+from .encoding import index_of
+from .polygons import _parts
+from .relations import is_in, soft
 
 FORWARD = (("object", "spatial", "object"), ("object", "to_wall", "wall"), ("door", "aperture_wall", "wall"), ("window", "aperture_wall", "wall"), ("object", "to_room", "room"), ("door", "to_room", "room"), ("window", "to_room", "room"), ("object", "to_zone", "zone"), ("door", "door_to_zone", "zone"), ("door", "entry_path", "object"))
 RELATIONS = FORWARD + tuple((to, f"rev_{r}", of) for of, r, to in FORWARD)
@@ -227,6 +232,198 @@ def predictions(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarra
     return rows.mapInArrow(predicted, schema)
 
 
+#: pieces, fixtures, walls and pairs of pieces of the rooms that scene_predictions() works out at once
+PAIRS_AT_ONCE = 4000
+
+_PER_UNIT = 1024
+_TERMS = 4
+
+
+def _normal_shares() -> list[np.ndarray]:
+    """Coefficients of the normal distribution's expansion about every multiple of 1 / _PER_UNIT from -9 to 9."""
+    z = np.arange(-9 * _PER_UNIT, 9 * _PER_UNIT + 1) / _PER_UNIT
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    share = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z.tolist()])
+    return [share, density, -z * density / 2, (z * z - 1) * density / 6, (3 * z - z**3) * density / 24]
+
+
+def gelus(x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """tape.gelu() of an array, by _normal_shares(): beyond 9 the share is 0 or 1 to the last digit that counts."""
+    near = np.clip(x, -9.0, 9.0)
+    at = np.rint(near * _PER_UNIT)
+    rest = near - at / _PER_UNIT
+    at = at.astype(np.int32) + 9 * _PER_UNIT
+    share = tables[_TERMS].take(at)
+    for table in tables[_TERMS - 1 :: -1]:
+        share *= rest
+        share += table.take(at)
+    return x * share
+
+
+def _normed(x: np.ndarray, w: dict[str, np.ndarray], name: str) -> np.ndarray:
+    x = x - x.mean(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x) / x.shape[1] + 1e-5)[:, None]
+    return x * w[f"{name}.scale"] + w[f"{name}.shift"]
+
+
+def _taken(source: np.ndarray, target: np.ndarray, src: np.ndarray, dst: np.ndarray, edges: tuple[np.ndarray, np.ndarray], w: dict[str, np.ndarray], name: str, heads: int) -> tuple[np.ndarray, np.ndarray]:
+    """attend() for edges ordered by their targets, without the bias: the targets that have edges, and what they take."""
+    numbers, kinds = edges
+    start = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    sizes = np.diff(np.r_[start, len(dst)])
+    taken = (source @ w[f"{name}.source.w"] + w[f"{name}.source.b"])[src]
+    mixed = (target @ w[f"{name}.target.w"] + w[f"{name}.target.b"])[dst]
+    mixed += taken
+    mixed += numbers @ w[f"{name}.edge.w"][: numbers.shape[1]]
+    mixed += w[f"{name}.edge.w"][numbers.shape[1] + kinds]
+    np.maximum(mixed, 0.2 * mixed, out=mixed)
+    width = mixed.shape[1] // heads
+    logits = mixed @ (np.kron(np.eye(heads), np.ones((width, 1))) * w[f"{name}.attention"].reshape(-1, 1))
+    share = np.exp(logits - np.repeat(np.maximum.reduceat(logits, start), sizes, axis=0))
+    share /= np.repeat(np.add.reduceat(share, start) + 1e-16, sizes, axis=0)
+    taken *= np.repeat(share, width, axis=1)
+    return dst[start], np.add.reduceat(taken, start)
+
+
+def head_states(nodes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], links: dict[tuple[str, str, str], tuple], w: dict[str, np.ndarray], tables: list[np.ndarray], config: ModelConfig = ModelConfig()) -> dict[str, np.ndarray]:
+    """node_states() of the types that have heads, for many rooms: only what these states are made of is worked out.
+
+    nodes: features, labels and rooms by type; links: sources, targets, numbers and types of edges by relation, with both
+    ways.  A relation's bias goes to the nodes of rooms that have the relation, as if each room were by itself.
+    """
+    needed = [set(vocab.HEAD_TYPES)]
+    for _ in range(config.layers):
+        needed.insert(0, needed[0] | {a for a, _, b in links if b in needed[0]})
+    rooms = {k: v[2] for k, v in nodes.items()}
+    x = {k: _normed(gelus(np.concatenate([f, w["labels"][labels]], axis=1) @ w[f"in.{k}.w"] + w[f"in.{k}.b"], tables), w, f"in.{k}") for k, (f, labels, _) in nodes.items() if k in needed[0]}
+    ordered = {}
+    for rel, (src, dst, *edges) in links.items():
+        order = np.argsort(dst, kind="stable")
+        ordered[rel] = src[order], dst[order], tuple(e[order] for e in edges)
+    for layer in range(config.layers):
+        got: dict[str, np.ndarray] = {}
+        for rel in RELATIONS:
+            if rel in ordered and rel[2] in needed[layer + 1]:
+                name = f"{layer}.{'.'.join(rel)}"
+                out = got.setdefault(rel[2], np.zeros_like(x[rel[2]]))
+                at, part = _taken(x[rel[0]], x[rel[2]], *ordered[rel], w, name, config.heads)
+                out[at] += part
+                if w[f"{name}.bias"].any():
+                    out[np.isin(rooms[rel[2]], rooms[rel[2]][at])] += w[f"{name}.bias"]
+        x = {k: _normed(v + gelus(got[k], tables) if k in got else v, w, f"{layer}.norm.{k}") for k, v in x.items() if k in needed[layer + 1]}
+    return x
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """Four digits as round() gives them."""
+    scaled = values * 1e4
+    out = np.rint(scaled) / 1e4
+    for k in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[k] = round(float(values[k]), 4)
+    return out
+
+
+_BOX = ("x", "y", "z", "yaw", "width", "depth", "height")
+
+
+def _scene_rows(furniture: DataFrame, walls: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """room, pieces, walls and fixtures (lists): one row for each room."""
+    label = index_of(F.lower("label"), vocab.LABELS).alias("label_ix")
+    may = F.coalesce(~soft(F.col("label")) | is_in(F.col("label"), vocab.SOFT_ON_WALLS), F.lit(False)).alias("on_wall")
+    numbers = [F.col(c).cast("double").alias(c) for c in _BOX if c != "z"]
+    parts = {"pieces": furniture.select("room", F.struct("ord", "id", label, may, *numbers, F.col("z").cast("double").alias("z")).alias("pieces"))}
+    parts["walls"] = walls.select("room", F.struct("id", "ax", "ay", "bx", "by", "height", "thickness").alias("walls"))
+    label = index_of(F.lower("kind"), vocab.LABELS).alias("label_ix")
+    parts["fixtures"] = fixtures.select("room", F.struct("id", "kind", label, "wall_id", *numbers).alias("fixtures"))
+    rows = None
+    for part in parts.values():
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy("room").agg(*(F.collect_list(c).alias(c) for c in parts))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _scene_graphs(batch: pa.RecordBatch, scene: SceneConfig) -> tuple[dict, dict, dict]:
+    """Of the rooms of _scene_rows(): what head_states() reads, and the row and the id of every node by type."""
+    known = batch.column("room").is_valid().to_numpy(zero_copy_only=False)
+    (p_of, pieces), (f_of, fixed), (w_of, walls) = (_lists(batch.column(c)) for c in ("pieces", "fixtures", "walls"))
+    n_p, n_f = len(p_of), len(f_of)
+    box, ends = (np.stack([_numbers(part[c]) for c in names]) for part, names in ((pieces, ("x", "y", "width", "depth", "yaw")), (walls, ("ax", "ay", "bx", "by"))))
+    dx, dy = ends[2] - ends[0], ends[3] - ends[1]
+    height = _numbers(walls["height"])
+    as_box = {"x": (ends[0] + ends[2]) / 2, "y": (ends[1] + ends[3]) / 2, "z": height / 2, "yaw": np.arctan2(dy, dx), "width": np.sqrt(dx * dx + dy * dy), "depth": np.fmax(_numbers(walls["thickness"]), 0.02), "height": height}
+    own = {c: np.nan_to_num(np.concatenate([_numbers(pieces[c]), _numbers(fixed[c]) if c != "z" else np.zeros(n_f), as_box[c]]), nan=0.0) for c in _BOX}
+    features = np.stack([own["x"], own["y"], own["z"], np.sin(own["yaw"]), np.cos(own["yaw"]), own["width"], own["depth"], own["height"]], axis=1)
+    labels = np.concatenate([pieces["label_ix"].to_numpy(zero_copy_only=False), fixed["label_ix"].to_numpy(zero_copy_only=False), np.full(len(w_of), vocab.LABELS.index("wall"))])
+    of = np.concatenate([p_of, f_of, w_of])
+    types = vocab.NODE_TYPES
+    opening = pc.fill_null(pc.index_in(fixed["kind"], pa.array(["door", "window"])), 2).to_numpy(zero_copy_only=False)
+    kind = np.concatenate([np.full(n_p, types.index("object")), np.array([types.index(k) for k in ("door", "window", "object")])[opening], np.full(len(w_of), types.index("wall"))])
+    # edges, by place among pieces, fixtures and walls
+    in_room, of_room = (np.bincount(o, minlength=batch.num_rows) for o in (p_of, w_of))
+    first_piece, first_wall = (np.cumsum(n) - n for n in (in_room, of_room))
+    ord_ = _numbers(pieces["ord"])
+    linked = known[p_of] & ~np.isnan(ord_)
+    parts = re.object_edges(box, ord_, np.where(linked, in_room[p_of], 0), first_piece[p_of], scene)
+    may = known[p_of] & pieces["on_wall"].to_numpy(zero_copy_only=False).astype(bool)
+    beside = re.wall_edges(box, np.where(may, of_room[p_of], 0), first_wall[p_of], ends, scene)
+    parts += [(s, t + n_p + n_f, *rest) for s, t, *rest in beside]
+    # a fixture and the wall it names: all walls of its room are looked at
+    names = pa.concat_arrays([fixed["wall_id"], walls["id"]]).dictionary_encode().indices
+    code = pc.fill_null(names, -1).to_numpy(zero_copy_only=False)
+    for s, t in re._of_pairs(np.where(known[f_of] & (code[:n_f] >= 0), of_room[f_of], 0), first_wall[f_of]):
+        held = code[s] == code[n_f + t]
+        s, t = s[held], t[held]
+        entry = np.array([re.TYPE["door_in_wall"], re.TYPE["window_in_wall"], len(vocab.EDGE_TYPES)])[opening[s]]
+        parts.append((s + n_p, t + n_p + n_f, entry, {}))
+    edges = re.Edges.of(parts)
+    at = {k: np.flatnonzero(kind == i) for i, k in enumerate(types)}
+    place = np.zeros(len(kind), np.int64)
+    for rows in at.values():
+        place[rows] = np.arange(len(rows))
+    links = {}
+    ends_of = kind[edges.src] * len(types) + kind[edges.dst]
+    for a, name, b in FORWARD:
+        mine = np.flatnonzero(ends_of == types.index(a) * len(types) + types.index(b))
+        if len(mine):
+            src, dst, more = place[edges.src[mine]], place[edges.dst[mine]], (edges.numbers[mine], edges.type[mine])
+            links[a, name, b] = src, dst, *more
+            links[b, f"rev_{name}", a] = dst, src, *more
+    ids = pa.concat_arrays([pieces["id"], fixed["id"], walls["id"]])
+    return {k: (features[rows], labels[rows], of[rows]) for k, rows in at.items() if len(rows)}, links, {k: (of[rows], ids.take(pa.array(rows))) for k, rows in at.items()}
+
+
+def scene_predictions(furniture: DataFrame, walls: DataFrame, fixtures: DataFrame, weights: dict[str, np.ndarray], config: ModelConfig = ModelConfig(), scene: SceneConfig = SceneConfig()) -> DataFrame:
+    """room, target, principle, status and score, as predictions() gives them for the graph of pieces, walls and fixtures.
+
+    A room is one row from its pieces on: its edges are laid out where the model reads them, so that neither edges nor
+    their features are written, joined or sorted.  weights: the edges' ones have the continuous features first.
+    """
+    schema = "room long, target string, principle string, status string, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, worth = _normal_shares(), np.array(vocab.STATUS_SCORES)
+        for batch in batches:
+            counts = [pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pieces", "fixtures", "walls")]
+            for some in _parts(counts[0] ** 2 + sum(counts), PAIRS_AT_ONCE):
+                rooms = batch.slice(some.start, some.stop - some.start)
+                nodes, links, named = _scene_graphs(rooms, scene)
+                for kind, x in head_states(nodes, links, weights, tables, config).items():
+                    mine = [vocab.PRINCIPLES.index(p) for p in vocab.PRINCIPLES if p in vocab.APPLICABLE[kind]]
+                    logits = (x @ weights[f"head.{kind}.w"] + weights[f"head.{kind}.b"]).reshape(len(x), len(vocab.PRINCIPLES), -1)[:, mine]
+                    share = np.exp(logits - logits.max(axis=2, keepdims=True))
+                    share /= share.sum(axis=2, keepdims=True)
+                    of, ids = named[kind]
+                    each = pa.array(np.repeat(np.arange(len(x)), len(mine)))
+                    principle, status = pa.array(np.tile(mine, len(x))), pa.array(share.argmax(axis=2).ravel())
+                    yield pa.RecordBatch.from_arrays([rooms.column("room").take(pa.array(np.repeat(of, len(mine)))), ids.take(each), pa.array(vocab.PRINCIPLES).take(principle), pa.array(vocab.STATUSES).take(status), pa.array(_rounded((share @ worth).ravel()))], names=names)
+
+    return _scene_rows(furniture, walls, fixtures).mapInArrow(predicted, schema)
+
+
 def smooth_l1(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d < 1, d * d / 2).otherwise(d - 0.5)

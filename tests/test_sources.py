@@ -180,6 +180,60 @@ def test_rooms_are_predicted_together(spark, monkeypatch, at_once):
     assert n == len(got)
 
 
+@pytest.mark.parametrize("at_once", [1, 4000])
+def test_scene_predictions_by_room(spark, sf, monkeypatch, at_once):
+    """Edges laid out where the model reads them give what edges as rows give; nothing is joined, and furniture is dealt out once."""
+    from plenum.operators import relations as rel
+    from plenum.operators import room_edges as re
+    from plenum.plans import derived as d
+    from plenum.plans import queries as q
+
+    plan = q.QUERIES["k7_predictions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    monkeypatch.setattr(md, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(re, "PAIRS_AT_ONCE", at_once)
+    s = d.Scene(spark, sf)
+    pieces = s.furniture.where("room < 120").withColumn("label", F.when(F.col("ord") % 7 != 3, F.upper("label"))).withColumn("x", F.when((F.col("room") % 9 != 4) | (F.col("ord") != 2), F.col("x")))
+    rooms = d.room_ids(spark, sf).where("room < 120 AND room % 5 <> 1")
+    point = d.walls(rooms).where("room % 3 = 0 AND ord = 1").withColumns({"id": F.lit("point"), "bx": F.col("ax"), "by": F.col("ay"), "thickness": F.lit(None).cast("double")})
+    walls = d.drawn_walls(rooms).unionByName(point)
+    lone = d.fixtures(spark.createDataFrame([(100000,)], "room long")).withColumn("kind", F.when(F.col("kind") == "window", "unknown").otherwise(F.col("kind")))
+    fixtures = s.fixtures.where("room < 120").unionByName(lone).withColumn("wall_id", F.when(F.col("room") % 4 != 2, F.col("wall_id")))
+    fixtures = fixtures.withColumn("label", F.col("kind")).withColumn("z", F.lit(0.0))
+    columns = ("room", "id", "kind", "label", "x", "y", "z", "yaw", "width", "depth", "height")
+    nodes = pieces.select(*columns).unionByName(fixtures.select(*columns)).unionByName(rel.wall_entities(walls).select(*columns))
+    nodes = nodes.withColumn("type", en.node_type(F.col("kind"))).withColumns({c: F.lit(None).cast("double") for c in ("centroid_x", "centroid_y", "area")})
+    edges = rel.object_edges(rel.pairs(pieces)).unionByName(rel.wall_edges(rel.wall_pairs(pieces, walls))).unionByName(rel.fixture_edges(fixtures, walls))
+    weights, vectors = md.init_weights(seed=3), en.node_vectors(nodes)
+    want = md.predictions(vectors, en.edge_vectors(edges, vectors.select("room", "id", "node_type")), weights, reverse=True).select("room", "target", "principle", "status", "score")
+    got = md.scene_predictions(pieces, walls, fixtures, weights)
+    got, want = (sorted((tuple(p) for p in f.collect()), key=repr) for f in (got, want))
+    assert len(got) > 500 and [p[:4] for p in got] == [p[:4] for p in want]
+    assert [p[4] for p in got] == pytest.approx([p[4] for p in want], abs=1.01e-4)
+
+
+def test_gelus_to_the_last_digit():
+    x = np.concatenate([np.linspace(-12, 12, 20001), [0.0, 9.0, -9.0, 40.0, -40.0]])
+    assert np.allclose(md.gelus(x, md._normal_shares()), md.t.gelu(md.t.Var(x)).value, rtol=0, atol=4e-15)
+
+
+def test_biases_go_to_rooms_with_the_relation():
+    """What a room gets doesn't depend on the rooms beside it, with biases that aren't zero."""
+    weights = {k: v + 0.3 if k.endswith(".bias") else v for k, v in md.init_weights(seed=4).items()}
+    r = np.random.default_rng(1)
+    features, labels = r.normal(size=(3, md.NODE_SIZE)), np.array([1, 2, 3])
+    pair = np.array([0, 1]), np.array([1, 0]), r.normal(size=(2, 8)), np.array([0, 3])
+    links = {("object", "spatial", "object"): pair, ("object", "rev_spatial", "object"): (pair[1], pair[0], *pair[2:])}
+    tables = md._normal_shares()
+    both = md.head_states({"object": (features, labels, np.array([0, 0, 1]))}, links, weights, tables)["object"]
+    linked = md.head_states({"object": (features[:2], labels[:2], np.array([0, 0]))}, links, weights, tables)["object"]
+    alone = md.head_states({"object": (features[2:], labels[2:], np.array([0]))}, {}, weights, tables)["object"]
+    assert np.allclose(both[:2], linked) and np.allclose(both[2:], alone)
+    held = {k: md.t.Var(v) for k, v in weights.items()}
+    full = {rel: (s, o, np.concatenate([n, np.eye(md.EDGE_SIZE - 8)[k]], axis=1)) for rel, (s, o, n, k) in links.items()}
+    assert np.allclose(linked, md.node_states({"object": (features[:2], labels[:2])}, full, held)["object"].value)
+
+
 def test_attention_is_a_mean():
     w = {k: v for k, v in md.init_weights(seed=1).items() if k.startswith("0.object.spatial.object")}
     x = np.ones((3, 32))
