@@ -13,6 +13,7 @@ from plenum.operators import polygons as pg
 from plenum.operators import relations as rel
 from plenum.operators import rules as ru
 from plenum.operators import zones as zo
+from plenum.operators import paths as pt
 from plenum.operators.paths import Grid, blockers, walks, walks_of
 from plenum.sources import layout as ly
 
@@ -158,6 +159,35 @@ def test_paths_are_shortest():
                 assert w.half_width.tolist() == pytest.approx(widths)
 
 
+@pytest.mark.parametrize("margin", [0, 2, 1000])
+def test_walks_search_only_around_detours(monkeypatch, margin):
+    """Rectangles around detours change no path; grids and half widths of many rooms are those of each; a way that is free isn't searched."""
+    config, rooms = SceneConfig(grid_cell=0.1), random_rooms(7, 20, boxes=7)
+    cells = lambda: {(w.room, w.door, w.zone): (w.cells.tolist(), w.half_width.tolist()) for w in walks_of(rooms, config)}
+    want = {}
+    for k, room in enumerate(rooms):  # each door's whole layer is searched
+        grid = Grid([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], room["boxes"], 0.1)
+        free = pt.stacked([grid.grid])
+        width = pt.half_widths(free, 15)
+        for door in room["doors"]:
+            distance = pt.distances(free, np.array([grid.nearest(grid.at(door["x"], door["y"]))]) + 1)
+            for zone in room["zones"]:
+                goal = np.array([grid.nearest(grid.at(zone["x"], zone["y"]))]) + 1
+                if distance[0, goal[0, 0], goal[0, 1]] < pt.FAR:
+                    path = pt.followed(distance, np.array([0]), goal)[0]
+                    want[k, door["id"], zone["zone_id"]] = (path - 1).tolist(), (width[0, path[:, 0], path[:, 1]] * 0.1).tolist()
+    monkeypatch.setattr(pt, "MARGIN", margin)
+    monkeypatch.setattr(pt, "PAIRS_AT_ONCE", 3)
+    assert cells() == want and len(want) > 40
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    for one, room in zip(Grid.many([(ring, r["boxes"]) for r in rooms], 0.1), rooms, strict=True):
+        alone = Grid(ring, room["boxes"], 0.1)
+        assert (one.x0, one.y0) == (alone.x0, alone.y0) and (one.grid == alone.grid).all()
+    monkeypatch.setattr(pt, "distances", None)
+    rooms = random_rooms(8, 3, boxes=0)
+    assert len(cells()) == 12
+
+
 def test_blockers_are_the_first_tight_places():
     config = SceneConfig(grid_cell=0.1)
     rooms = random_rooms(3, 10)
