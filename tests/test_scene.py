@@ -1,7 +1,10 @@
 """Golden values of the sample room, brute force for geometry and paths, properties of rules."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -9,11 +12,11 @@ from pyspark.sql import functions as F
 
 from plenum.config import SceneConfig
 from plenum.functions import geometry as g
+from plenum.operators import paths as pt
 from plenum.operators import polygons as pg
 from plenum.operators import relations as rel
 from plenum.operators import rules as ru
 from plenum.operators import zones as zo
-from plenum.operators import paths as pt
 from plenum.operators.paths import Grid, blockers, walks, walks_of
 from plenum.sources import layout as ly
 
@@ -188,6 +191,15 @@ def test_walks_search_only_around_detours(monkeypatch, margin):
     assert len(cells()) == 12
 
 
+def test_walking_travels_by_value(tmp_path):
+    """Executors have no plenum: what walks_of() uses is in its pickle."""
+    from pyspark import cloudpickle
+
+    (tmp_path / "walks").write_bytes(cloudpickle.dumps((walks_of, random_rooms(1, 2), SceneConfig())))
+    code = "import sys, pickle; f, rooms, config = pickle.load(open(sys.argv[1], 'rb')); assert f(rooms, config) and 'plenum' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "walks")], check=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=60)
+
+
 def test_blockers_are_the_first_tight_places():
     config = SceneConfig(grid_cell=0.1)
     rooms = random_rooms(3, 10)
